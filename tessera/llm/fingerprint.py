@@ -1,7 +1,7 @@
 """Document fingerprints: improbable-feature similarity digests.
 
-Every 64-byte window of a text has an entropy. Entropies are ranked by how rare they are among the windows of all
-documents (a grouped histogram). Of each 64 neighbouring windows the rarest is elected; windows elected 16 times or more
+Every 16-byte window of a text has an entropy. Entropies are ranked by how rare they are among the windows of all
+documents (a grouped histogram). Of each 16 neighbouring windows the rarest is elected; windows elected 4 times or more
 are features. Features go into a chain of 2048-bit Bloom filters of 160 features each, and two digests are compared by
 the overlap of their bits, normalised between chance and the most that is possible.
 """
@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 from tessera.llm.common import text_or_empty
 from tessera.llm.minhash import mix
 
-WINDOW, NEIGHBOURS, ELECTED = 64, 64, 16
+WINDOW, NEIGHBOURS, ELECTED = 16, 16, 4
+MOST_ENTROPY = 4  # bits, log2(WINDOW)
 FILTER_BITS, FILTER_FEATURES, HASHES = 2048, 160, 5
 LEVELS = 1024
 #: Windows of less entropy (bits) are never improbable features: runs of one or two characters.
@@ -40,8 +41,8 @@ _PLACE = np.random.default_rng(11).integers(1, 1 << 63, WINDOW // 8, dtype=np.ui
 
 
 def entropy_levels(b: np.ndarray) -> np.ndarray:
-    """Level (0 to LEVELS - 1) of the entropy of the window that starts at each byte, for all but the last 63. Counting
-    equal bytes at each distance gives, for every byte, how often its value occurs in the 64 bytes that end or start
+    """Level (0 to LEVELS - 1) of the entropy of the window that starts at each byte, for all but the last 15. Counting
+    equal bytes at each distance gives, for every byte, how often its value occurs in the 16 bytes that end or start
     there; sliding the window by one changes the sum of c log c by one step down and one up."""
     n = len(b)
     back, ahead = np.ones(n, np.uint8), np.ones(n, np.uint8)
@@ -54,7 +55,7 @@ def entropy_levels(b: np.ndarray) -> np.ndarray:
     gained, lost = np.cumsum(_STEP[back]), np.cumsum(_STEP[ahead])
     s = gained[WINDOW - 1 :].copy()
     s[1:] -= lost[: n - WINDOW]
-    most = WINDOW * 6 << 20
+    most = WINDOW * MOST_ENTROPY << 20
     return ((most - s) * (LEVELS - 1) // most).clip(0, LEVELS - 1)
 
 
@@ -83,8 +84,8 @@ def level_histogram(texts: list[bytes]) -> np.ndarray:
 def rarity_ranks(counts: np.ndarray) -> np.ndarray:
     """Rank of each level, the rarest first; levels under LEAST_ENTROPY come last, the lowest at the very end."""
     level = np.arange(LEVELS)
-    order = np.lexsort((level, np.where(level * 6 < LEAST_ENTROPY * (LEVELS - 1), LEVELS - level, 0), counts))
-    dull = level[order] * 6 < LEAST_ENTROPY * (LEVELS - 1)
+    order = np.lexsort((level, np.where(level * MOST_ENTROPY < LEAST_ENTROPY * (LEVELS - 1), LEVELS - level, 0), counts))
+    dull = level[order] * MOST_ENTROPY < LEAST_ENTROPY * (LEVELS - 1)
     ranks = np.empty(LEVELS, np.int64)
     ranks[np.concatenate([order[~dull], order[dull]])] = level
     return ranks
@@ -98,7 +99,7 @@ def digests(texts: list[bytes], ranks: np.ndarray) -> list[tuple[np.ndarray, np.
     at = np.arange(len(levels), dtype=np.int64)
     none = np.int64(1 << 62)
     key = np.where(valid, ranks[levels] << 32 | at, none)
-    # Texts lie 63 windows apart, so no neighbourhood holds windows of two.
+    # Texts lie 15 windows apart, so no neighbourhood holds windows of two.
     least, step = key, 1
     while step < NEIGHBOURS:
         least = np.minimum(least[:-step], least[step:]) if len(least) > step else least[:0]

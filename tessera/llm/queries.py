@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from tessera.llm.bpe import bpe_decode, bpe_encode
 from tessera.llm.common import table
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.fingerprint import fingerprints
+from tessera.llm.langid import identify
+from tessera.llm.line_dedup import line_dedup
 from tessera.llm.minhash import near_dedup
 from tessera.llm.packing import best_fit_packing
 from tessera.llm.quality import quality_scores
@@ -52,14 +55,20 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_exact_dedup": op1_exact_dedup,
-    "op2_bpe": op2_bpe,
-    "op3_url_filter": op3_url_filter,
-    "op4_minhash": op4_minhash,
-    "op7_secrets": op7_secrets,
-    "op8_packing": op8_packing,
-    "op9_quality": op9_quality,
+    f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_url_filter, op4_minhash, op5_language_id, op6_fingerprints, op7_secrets, op8_packing, op9_quality, op10_line_dedup)
 }
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
