@@ -5,9 +5,11 @@ bits, the value its minimum there); empty bins borrow from bins that a two-unive
 Signatures are cut into 32 bands of 4, so that a pair of similarity 0.75 shares a bucket with probability
 1 - (1 - 0.75^4)^32 = 0.999995.
 
-Within a bucket, edges form a star: one centre against the others, confirmed on full sets. A pair of non-centres might
-be similar without either being similar to the centre, so buckets whose members are still in different components get
-another centre, from their rarest component, until every bucket is settled. Pairs within a component are never compared.
+Within a bucket, edges form a star: one centre, by hash, against the others, confirmed on full sets. A pair of
+non-centres might be similar without either being similar to the centre, so buckets whose members are then still in
+different components are settled exactly: the members outside the bucket's largest component are dealt to blocks of
+bounded size, every block meets the bucket's members chunk by chunk, and shared shingles are counted through an index of
+the block. No pairs are written but those that join components.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from tessera.llm.exact_dedup import drop_ids
 SHINGLE_WORDS = 5
 BINS, BAND_ROWS = 128, 4
 SEED = 20_240_501
+#: Shingles that a block of members outside the largest component, and a chunk of all members, are planned to hold.
+BLOCK_SHINGLES, CHUNK_SHINGLES = 1 << 18, 1 << 21
 #: Distinct words that a worker remembers before it starts anew.
 MEMO_ENTRIES = 1_000_000
 
@@ -153,50 +157,91 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("union") * 100 >= n * percent).select("a", "b")
 
 
+def settle(percent: int):
+    """For applyInPandas over (bucket, block, chunk): links (a, b) between components, no more than join them."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        inner = pdf[pdf["inner"]]
+        reps, comps = inner["rep"].tolist(), inner["comp"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in inner["shingles"]]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        order = np.argsort(every, kind="stable")
+        owner = np.repeat(np.arange(len(sets)), sizes)[order]
+        every = every[order]
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                c = up
+            return c
+
+        out: list[tuple[int, int]] = []
+        outer = pdf[~pdf["inner"]]
+        for rep, comp, raw in zip(outer["rep"].tolist(), outer["comp"].tolist(), outer["shingles"]):
+            x = np.frombuffer(raw, np.uint64)
+            low, high = np.searchsorted(every, x), np.searchsorted(every, x, side="right")
+            n = high - low
+            if not n.any():
+                continue
+            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            shared = np.bincount(owner[at], minlength=len(sets))
+            near = (100 * shared >= percent * (len(x) + sizes - shared)) & (comps != comp)
+            for k in np.flatnonzero(near).tolist():
+                a, b = find(comp), find(int(comps[k]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((min(rep, reps[k]), max(rep, reps[k])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def settled(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """The links that stars have missed: members(bucket, rep, n), labels(node, component) -> (a, b)."""
+    placed = members.join(labels, members["rep"] == labels["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    parts = placed.groupBy("bucket", "comp").agg(F.sum("n").alias("size"))
+    whole = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.max(F.struct("size", "comp")).alias("most")).where("parts > 1")
+    blocks = F.ceil((F.col("size") - F.col("most.size")) / BLOCK_SHINGLES)
+    whole = whole.select("bucket", F.col("most.comp").alias("largest"), blocks.alias("blocks"), F.ceil(F.col("size") / CHUNK_SHINGLES).alias("chunks"))
+    unsettled = placed.join(whole, "bucket")
+    block, chunk = F.pmod(F.xxhash64("rep"), F.col("blocks")), F.pmod(F.xxhash64("rep", "bucket"), F.col("chunks"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    inner = unsettled.where("comp != largest").select("bucket", block.alias("block"), numbers("chunks").alias("chunk"), F.lit(True).alias("inner"), "rep", "comp")
+    outer = unsettled.select("bucket", numbers("blocks").alias("block"), chunk.alias("chunk"), F.lit(False).alias("inner"), "rep", "comp")
+    rows = inner.unionByName(outer).join(sets, F.col("rep") == sets["doc_id"]).drop("doc_id")
+    return rows.groupBy("bucket", "block", "chunk").applyInPandas(settle(percent), "a long, b long").distinct()
+
+
 def near_dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Null text counts as empty; texts without words have no shingles, are linked with nothing and are kept. Texts of
     fewer than five words have one shingle, the whole sequence. Rows with a null doc_id have a null component_id and
-    kept. Rows that repeat a doc_id with one text are one document; with different texts, their links are merged.
+    kept. Rows that repeat a doc_id with one text are one document; with different texts, each is linked for itself.
     An empty table gives an empty table; other columns are not read."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     signed = materialize(signatures(docs), "signed")
     known = signed.where("n_shingles > 0 and doc_id is not null")
     # Equal sets are one class, represented by its smallest doc_id.
     classes = known.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
-    rows = materialize(classes.select("rep", F.explode("bands").alias("bucket")), "bands")
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = materialize(rows.join(shared, "bucket"), "members")
+    rows = materialize(classes.select("rep", F.col("n_shingles").alias("n"), "digest", F.explode("bands").alias("bucket")), "bands")
+    by_hash = F.struct(F.xxhash64("bucket", "digest").alias("h"), F.col("rep").alias("centre"), F.col("n").alias("m"))
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("k"), F.min(by_hash).alias("c")).where("k > 1").select("bucket", "c.centre", "c.m")
+    members = materialize(rows.drop("digest").join(shared, "bucket"), "members")
     release(rows)
     needed = materialize(members.select(F.col("rep").alias("need")).distinct(), "needed")
-    chosen = docs.join(needed, docs["doc_id"] == needed["need"], "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(full_sets(chosen), "sets")
-    links = tested = labels = None
-    while True:
-        part = members.select("bucket", "rep", F.col("rep").alias("comp"))
-        if labels is not None:
-            part = members.join(labels, members["rep"] == labels["node"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
-        parts = part.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.min("rep").alias("first"))
-        centres = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.min(F.struct("n", "first", "comp")).alias("c")).where("parts > 1")
-        centres = centres.select("bucket", F.col("c.first").alias("centre"), F.col("c.comp").alias("own"))
-        open_part = materialize(part.join(centres, "bucket"), "open")
-        pairs = open_part.where("comp != own").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if open_part.isEmpty():
-            break
-        found = materialize(confirmed(pairs, sets, percent), "links")
-        links = found if links is None else links.unionAll(found)
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        members = open_part.where("rep != centre").select("bucket", "rep")
-        if not found.isEmpty():
-            labels = materialize(connected_components(links), "labels")
+    chosen = docs.join(needed, docs["doc_id"] == needed["need"], "left_semi")
+    # With an id repeated over texts, the class's own text isn't known by its id: the largest set stands for the id.
+    sets = materialize(full_sets(chosen).groupBy("doc_id").agg(F.max_by("shingles", F.length("shingles")).alias("shingles")), "sets")
+    alike = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent  # sizes bound the similarity
+    pairs = members.where((F.col("rep") != F.col("centre")) & alike).select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
+    links = materialize(confirmed(materialize(pairs, "pairs"), sets, percent), "links")
+    labels = materialize(connected_components(links), "labels")
+    more = materialize(settled(members.select("bucket", "rep", "n"), sets, labels, percent), "more")
+    labels = materialize(connected_components(links.unionByName(more)), "labels")
     reps = known.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    if labels is not None:
-        reps = reps.join(labels, reps["rep"] == labels["node"], "left").select("digest", "n_shingles", F.coalesce("component", "rep").alias("rep"))
-    reps = reps.groupBy("digest", "n_shingles").agg(F.min("rep").alias("rep"))
+    reps = reps.join(labels, reps["rep"] == labels["node"], "left").select("digest", "n_shingles", F.coalesce("component", "rep").alias("rep"))
     out = signed.select("doc_id", "n_shingles", "digest").join(reps, ["digest", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
