@@ -45,13 +45,26 @@ class WordIds(dict):
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MEMO_ENTRIES:
+    def encode(self, words: list[list[bytes]]) -> list[bytes]:
+        """The ids of each list of words. Words not known yet are encoded many at a time, joined by spaces; the place
+        in the joined text where a token starts tells its word."""
+        new = list(set().union(*words).difference(self)) if words else []
+        if len(self) + len(new) > MEMO_ENTRIES:
             self.clear()
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+            new = list(set().union(*words))
+        for i in range(0, len(new), 1000):
+            part = [w.decode() for w in new[i : i + 1000]]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+            cuts = np.searchsorted(starts, np.cumsum([len(w) + 1 for w in part])).tolist()
+            for w, a, b in zip(new[i : i + 1000], [0, *cuts], cuts):
+                self[w] = ids[4 * a : 4 * b]
+        out = [b"".join(map(self.__getitem__, w)) for w in words]
+        for w in new:
+            if len(w) > 64:  # a long word is hardly met again
+                del self[w]
+        return out
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,8 +74,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
         memo, end = WordIds.of(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             doc, piece, start, length, crc = [], [], [], [], []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = b"".join(map(memo.__getitem__, t.as_py().encode().split())) + end
+            coded = (x for i in range(0, batch.num_rows, 500) for x in memo.encode([t.as_py().encode().split() for t in batch.column(1).slice(i, 500)]))
+            for d, ids in zip(batch.column(0).to_pylist(), coded):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     doc.append(d)
