@@ -21,6 +21,7 @@ from tessera.llm.common import text_or_empty
 SAMPLE_ROWS = 20_000
 PAIRS_PER_ROW, STEPS, RIDGE, SEED = 6, 300, 1e-3, 7
 THRESHOLD = 0.3
+WIDTH = 95 + 49 + 6  # features of a text
 
 _WORD_END = np.zeros(256, bool)
 _WORD_END[[ord(c) for c in " \t\n\r\x0b\x0c"]] = True
@@ -34,7 +35,7 @@ def features(text: str) -> np.ndarray:
     """Rates of ASCII bytes and of pairs of byte classes, and a few shape figures; zeros for an empty text."""
     b = np.frombuffer(text.encode(), np.uint8)
     if not len(b):
-        return np.zeros(95 + 49 + 6)
+        return np.zeros(WIDTH)
     n = len(b)
     c = _CLASS[b]
     rates = np.bincount(b, minlength=256)[32:127] / n
@@ -63,8 +64,7 @@ def fit(x: np.ndarray, label: np.ndarray) -> QualityModel:
     """Without both labels: a model that gives all texts one score above the threshold."""
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     if not len(good) or not len(bad):
-        width = x.shape[1] if x.ndim == 2 and len(x) else 150
-        return QualityModel(np.zeros(width), np.ones(width), np.zeros(width), -1.0, 1.0)
+        return QualityModel(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), -1.0, 1.0)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.clip((x - mean) / scale, -6, 6)
     rng = np.random.default_rng(SEED)
@@ -95,12 +95,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     # The sample is bounded by its parameter, so it can be sent to all tasks.
     rows = docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
     found = rows.select("quality", vector("text").alias("x")).toPandas()
-    return fit(np.array(found["x"].tolist(), float).reshape(len(found), -1), found["quality"].to_numpy())
+    return fit(np.array(found["x"].tolist(), float).reshape(len(found), WIDTH), found["quality"].to_numpy())
 
 
 def score_column(model: QualityModel, text_col: str = "text") -> Column:
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(np.array([features(t) for t in texts], float).reshape(len(texts), -1)))
+        return pd.Series(model.scores(np.array([features(t) for t in texts], float).reshape(len(texts), WIDTH)))
 
     return F.pandas_udf(score, T.DoubleType())(text_or_empty(text_col))
 
