@@ -25,12 +25,32 @@ SHARD_ITEMS, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 16_384, 3, 2, 16, 5
 #: Share of a bin from which it counts as well filled; below LEFT_OVER a bin is packed again with those of other shards.
 WELL_FILLED, LEFT_OVER = 0.998, 0.97
 #: Distinct words that a worker remembers before it starts anew.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 1_000_000
+
+
+#: 1: ASCII letters, 2: ASCII digits and symbols but for the apostrophe
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 2
+_KIND[97:123], _KIND[ord("'")] = 1, 0
+
+
+def split_words(text: str) -> list[bytes]:
+    """Parts of a text whose ids can be concatenated. The vocabulary's pre-tokenizer removes white space and its matches
+    end between an ASCII letter and a symbol or digit; only contractions (`'s`) hold both, so apostrophes stay where
+    they are. Case goes first, as in the normalizer, unless the text may hold a special token."""
+    data = text.encode()
+    if b"<|" in data:
+        return data.split()
+    data = data.lower()
+    b = np.frombuffer(data, np.uint8)
+    kind = _KIND[b]
+    at = np.flatnonzero(kind[1:] + kind[:-1] == 3) + 1
+    at = at[(kind[at] > 0) & (kind[at - 1] > 0)]
+    return np.insert(b, at, 32).tobytes().split()
 
 
 class WordIds(dict):
-    """A word's bytes -> its ids as little-endian unsigned 32-bit integers. The vocabulary's pre-tokenizer removes white
-    space and neither it nor the normalizer looks across it, so words at ASCII white space are encoded one by one."""
+    """A word's bytes -> its ids as little-endian unsigned 32-bit integers."""
 
     _made: dict[str, WordIds] = {}
 
@@ -74,7 +94,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
         memo, end = WordIds.of(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             doc, piece, start, length, crc = [], [], [], [], []
-            coded = (x for i in range(0, batch.num_rows, 500) for x in memo.encode([t.as_py().encode().split() for t in batch.column(1).slice(i, 500)]))
+            coded = (x for i in range(0, batch.num_rows, 500) for x in memo.encode([split_words(t.as_py()) for t in batch.column(1).slice(i, 500)]))
             for d, ids in zip(batch.column(0).to_pylist(), coded):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
