@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.operators import attribution as at
 from tessera.operators import conversations as cv
 from tessera.operators import corpus as cp
+from tessera.operators import manifest as mf
 from tessera.operators import mixture as mx
+from tessera.operators import personal as pn
 from tessera.operators import quality as ql
+from tessera.sources import tables as tb
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -163,6 +167,51 @@ def language_detection(spark, sf_dir):
     return cp.detect_language(docs, cp.language_profiles(docs.where("lang is not null")))
 
 
+@query()
+def pii_masked(spark, sf_dir):
+    return pn.mask(_read(spark, sf_dir, "documents"), dial=0.5).select("doc_id", F.sha2("masked", 256).alias("masked_sha256"), F.size("spans").alias("n_spans"))
+
+
+@query()
+def pii_by_kind(spark, sf_dir):
+    return pn.masked_by_kind(pn.mask(_read(spark, sf_dir, "documents")))
+
+
+_ITEMS = f"SELECT item_id, 'b' || (item_id % 4) AS benchmark, regexp_extract_all(lower(coalesce(text, '')), '{tx.WORD_RUN}') AS w FROM benchmark"
+
+
+@query(
+    f"""WITH i AS ({_ITEMS}), s AS (SELECT *, least(len(w), 13) AS width FROM i WHERE len(w) >= 6),
+    x AS (SELECT item_id, benchmark, width, unnest(list_transform(range(1, len(w) - width + 2), lambda k: array_to_string(w[k:k + width - 1], ' '))) AS g FROM s),
+    ix AS (SELECT width, g, arg_min(benchmark, item_id) AS benchmark FROM x GROUP BY width, g),
+    d AS (SELECT doc_id, regexp_extract_all(lower({_TEXT}), '{tx.WORD_RUN}') AS w FROM documents),
+    e AS (SELECT DISTINCT doc_id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda k: array_to_string(w[k:k + width - 1], ' '))) AS g
+      FROM d, (SELECT DISTINCT width FROM ix) WHERE len(w) >= width)
+    SELECT doc_id, benchmark, count(*) AS n_hits FROM e JOIN ix USING (width, g) GROUP BY doc_id, benchmark"""
+)
+def benchmark_collisions(spark, sf_dir):
+    index = at.item_index(_read(spark, sf_dir, "benchmark"), F.concat(F.lit("b"), F.col("item_id") % 4))
+    return at.collisions(_read(spark, sf_dir, "documents"), index)
+
+
+@query(f"SELECT count(*) FILTER (len(w) >= 13) AS \"full\", count(*) FILTER (len(w) BETWEEN 6 AND 12) AS narrow, count(*) FILTER (len(w) < 6) AS refused FROM ({_ITEMS})")
+def benchmark_widths(spark, sf_dir):
+    return at.refused(_read(spark, sf_dir, "benchmark"))
+
+
+@query(
+    f"""WITH r AS (SELECT doc_id, {_TEXT} AS t, len(list_filter(string_split_regex({_TEXT}, '{tx.SPACE}+'), lambda x: x <> '')) AS n FROM documents),
+    e AS (SELECT * FROM r WHERE doc_id IN (SELECT min(doc_id) FROM r GROUP BY t)), l AS (SELECT * FROM e WHERE n BETWEEN 50 AND 100000),
+    c AS (SELECT 0 AS ord, 'read' AS stage, count(*) AS documents, sum(n) AS units FROM r UNION ALL SELECT 1, 'exact', count(*), sum(n) FROM e UNION ALL SELECT 2, 'length', count(*), sum(n) FROM l)
+    SELECT CAST(ord AS INTEGER) AS ord, stage, documents, CAST(units AS BIGINT) AS units, round(units / first(units) OVER (ORDER BY ord), 4) AS share FROM c"""
+)
+def yield_descent(spark, sf_dir):
+    kept = lambda d: d.join(cp.exact_first(d).select(F.col("keep_id").alias("doc_id")), "doc_id", "left_semi")
+    long = lambda d: d.where(F.size(tx.words(F.coalesce("text", F.lit("")))).between(50, 100_000))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return mf.yield_descent(mf.folded(docs, [("exact", kept), ("length", long)], lambda df, _: tb.cut(df))[1])
+
+
 @query()
 def pii_counts(spark, sf_dir):
     return cp.pii_counts(_read(spark, sf_dir, "documents"))

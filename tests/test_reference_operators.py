@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tessera.functions import text as tx
+from tessera.operators import attribution as at
 from tessera.operators import corpus as cp
+from tessera.operators import manifest as mf
 from tessera.operators import mixture as mx
+from tessera.operators import personal as pn
 from tessera.operators import quality as ql
 from tessera.plans import queries as plans
+from tessera.sources import tables as tb
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("documents", "benchmark", "conversations")
@@ -72,6 +76,44 @@ def test_seams_and_shares(spark):
     assert [(r["lane"], r["share"]) for r in kept] == [("a", 1.0)]
 
 
+def test_masking(spark):
+    texts = ["mail a.b+c@example.com or 555-123-4567", "Priya met Xavier near Lakshmi", "", None, "host 10.0.0.1 " * 500]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    off, low, high = ({r["doc_id"]: r["masked"] for r in pn.mask(rows, d).collect()} for d in (0.0, 0.5, 0.9))
+    assert off[0] == "mail [EMAIL] or [PHONE]" and off[1] == texts[1] and off[2] == off[3] == "" and off[4] == "host [IPV4] " * 500
+    assert low[1] == "[NAME] met Xavier near [NAME]" and high[1] == "Priya met [NAME] near [NAME]"
+    assert {r["kind"]: (r["n_spans"], r["n_docs"]) for r in pn.masked_by_kind(pn.mask(rows)).collect()} == {"email": (1, 1), "phone": (1, 1), "ipv4": (500, 1)}
+    assert pn.settled([(3, 9, "b", ""), (0, 5, "a", ""), (0, 4, "c", ""), (9, 10, "d", "")]) == [(0, 5, "a", ""), (9, 10, "d", "")]
+    assert pn.mask(rows.limit(0)).count() == 0
+
+
+def test_attributed_index_and_canaries(spark):
+    seven, five = "one two three four five six seven", "a b c d e"
+    items = spark.createDataFrame([(1, seven), (2, five), (3, None)], "item_id int, text string")
+    assert tuple(at.refused(items).first()) == (0, 1, 2)
+    index = at.item_index(items, F.lit("small"))
+    docs = spark.createDataFrame([(1, f"x {seven.upper()} y {seven}"), (2, "one two three four five six"), (3, None)], "doc_id int, text string")
+    assert [tuple(r) for r in at.collisions(docs, index).collect()] == [(1, "small", 1)]
+    assert at.collisions(docs, index.limit(0)).count() == 0
+    planted = at.canaries(spark, 3, seed=7)
+    found = cp.contaminated(planted.select(F.col("canary").alias("doc_id"), F.concat(F.lit("pre "), "text").alias("text")), planted)
+    assert {r["doc_id"] for r in found.collect()} == {0, 1, 2}
+    assert (at.coverage(0, 0), at.coverage(0, 3), at.coverage(5, 3)) == ("unchecked", "canary-only", "held-out")
+
+
+def test_files_and_fingerprints(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a b", None, "s"), (2, None, "en", "t")], tb.DOCUMENT)
+    tb.write_jsonl(rows, f"{tmp_path}/docs.jsonl")
+    tb.write_parquet(rows, f"{tmp_path}/docs", by="source")
+    assert sorted(tb.read_documents(spark, f"{tmp_path}/docs.jsonl").collect()) == sorted(rows.collect())
+    assert tb.read_documents(spark, f"{tmp_path}/docs").count() == 2
+    assert mf.config_fingerprint({"a": 1, "b": 2}) == mf.config_fingerprint({"b": 2, "a": 1}) != mf.config_fingerprint({"a": 1})
+    (tmp_path / "m.py").write_text("x = 1")
+    before = mf.code_fingerprint(str(tmp_path))
+    (tmp_path / "m.py").write_text("x = 2")
+    assert mf.code_fingerprint(str(tmp_path)) != before and mf.run_id("lite", "a", "b", "c").startswith("run-lite-")
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
