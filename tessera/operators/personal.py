@@ -12,48 +12,50 @@ from pyspark.sql import functions as F
 
 from tessera.operators.corpus import PII_PATTERNS
 
-# Given names that are masked at a dial of at most 0.5.
+# The given names of the name list, compared in lower case.
 GIVEN_NAMES = (
-    "Aarav", "Aditi", "Amit", "Ananya", "Anil", "Arjun", "Deepa", "Divya", "Gita", "Kavya", "Kiran", "Lakshmi", "Manoj", "Meera", "Neha", "Nikhil", "Pooja", "Priya",
-    "Rahul", "Rajesh", "Ravi", "Rohan", "Sanjay", "Sita", "Sunita", "Suresh", "Vijay", "Vikram", "David", "Emma", "James", "John", "Mary", "Michael", "Sarah", "Thomas",
+    "ananya", "rahul", "priya", "arjun", "meera", "vikram", "aditya", "kavya", "rohit", "sneha", "karthik", "divya", "sanjay", "pooja", "amit", "neha", "james", "sarah",
+    "michael", "emma", "david", "laura", "robert", "anna",
 )
+# The placeholder of each kind.
+PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "ipv4": "[IP]", "mac": "[MAC]", "aadhaar": "[AADHAAR]", "pan": "[PAN]", "name": "[NAME]"}
+# Fixed value: a capitalised word.
+CAPITALISED = r"(?<![\p{L}\p{N}_.])[A-Z][a-z]{2,}(?![\p{L}\p{N}_])"
 SCHEMA = "doc_id long, masked string, spans array<struct<kind:string,start:int,end:int,layer:string>>"
 
 
 def settled(spans: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
     """Of spans by start, longest first at a start, those that don't overlap one already taken."""
     out, end = [], 0
-    for s in sorted(spans, key=lambda s: (s[0], -s[1], s[2])):
+    for s in sorted(spans, key=lambda s: (s[0], -s[1])):
         if s[0] >= end:
             out.append(s)
             end = s[1]
     return out
 
 
-def _names(text: str, dial: float) -> list[tuple[int, int, str, str]]:
-    if dial <= 0:
-        return []
-    words = regex.finditer(r"\b\p{Lu}[\p{Ll}\p{M}]+\b", text)
-    first = len(text) - len(text.lstrip())
-    keep = (lambda m: m[0] in GIVEN_NAMES) if dial <= 0.5 else (lambda m: m.start() != first)
-    return [(m.start(), m.end(), "name", "gazetteer") for m in words if keep(m)]
+def _named(capitalised: Iterator[regex.Match], dial: float) -> list[tuple[int, int, str, str]]:
+    masks = lambda m: m[0].lower() in GIVEN_NAMES or (dial > 0.5 and m.start() > 0)
+    return [(*m.span(), "name", "gazetteer") for m in capitalised if masks(m)]
 
 
 def mask(docs: DataFrame, dial: float = 0.0, text_col: str = "text") -> DataFrame:
     """(doc_id, masked text, spans in code points). dial: 0 leaves names alone, up to 0.5 masks known given names, above
-    it any capitalised word but the text's first. Null counts as empty; no document is dropped."""
+    it any capitalised word too, but for an unknown one that opens the text. Where they overlap, patterns' spans come first
+    among themselves, then the earlier start. Null counts as empty; no document is dropped."""
     patterns = dict(PII_PATTERNS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = {k: regex.compile(p) for k, p in patterns.items()}
+        compiled, word = {k: regex.compile(p) for k, p in patterns.items()}, regex.compile(CAPITALISED)
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"]):
-                found = [(m.start(), m.end(), k, "pattern") for k, p in compiled.items() for m in p.finditer(text)]
-                taken = settled(found + _names(text, dial))
+                taken = settled([(*m.span(), k, "regex") for k, p in compiled.items() for m in p.finditer(text)])
+                if dial > 0:
+                    taken = settled(taken + _named(word.finditer(text), dial))
                 parts, at = [], 0
                 for start, end, kind, _ in taken:
-                    parts += [text[at:start], f"[{kind.upper()}]"]
+                    parts += [text[at:start], PLACEHOLDERS.get(kind, "[REDACTED]")]
                     at = end
                 spans = [{"kind": k, "start": s, "end": e, "layer": layer} for s, e, k, layer in taken]
                 rows.append((doc_id, "".join(parts) + text[at:], spans))
