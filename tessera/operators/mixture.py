@@ -60,3 +60,74 @@ def stratified_sample(rows: DataFrame, key: str, fractions: dict[str, float], or
     for k, f in fractions.items():
         limit = F.when(F.col(key) == k, F.lit(f)).otherwise(limit)
     return rows.where(u < limit)
+
+
+def lane_supply(inventory: DataFrame, headlines: DataFrame, least: float = 0.02) -> DataFrame:
+    """inventory(lane, tokens), headlines(lane, headline) -> (lane, tokens, n, n_unknown, headline, residual, disagrees):
+    null tokens are counted, not read as zero."""
+    sums = inventory.groupBy("lane").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"), F.count_if(F.col("tokens").isNull()).alias("n_unknown"))
+    joined = sums.join(headlines, "lane", "left").withColumn("residual", F.col("headline") - F.col("tokens"))
+    return joined.withColumn("disagrees", F.coalesce(F.abs("residual") > least * F.col("headline"), F.lit(False)))
+
+
+def realised_mixture(stages: DataFrame) -> DataFrame:
+    """stages(ord, duration, lane, share) -> (lane, share): shares weighted by the stages' durations."""
+    total = stages.select("ord", "duration").distinct().agg(F.sum("duration").alias("__total"))
+    return stages.crossJoin(F.broadcast(total)).groupBy("lane").agg(F.sum(F.col("share") * F.col("duration") / F.col("__total")).alias("share"))
+
+
+def sequence_schedule(stages: DataFrame) -> DataFrame:
+    """stages(ord, tokens, sequence_length) -> with start and end of each one's interval of tokens, its length as a
+    multiple of the rung before, and whether that is one or two. One row a stage."""
+    w = Window.orderBy("ord")
+    end = F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    out = stages.select("*", (end - F.col("tokens")).alias("start"), end.alias("end"), (F.col("sequence_length") / F.lag("sequence_length").over(w)).alias("multiple"))
+    return out.withColumn("ok", F.coalesce(F.col("multiple").isin(1.0, 2.0), F.lit(True)))
+
+
+def seam_blend(before: DataFrame, after: DataFrame, at: float) -> DataFrame:
+    """(lane, share): linear blend of two mixtures, at = 0 the first and 1 the second; a missing lane has no share."""
+    joined = before.select("lane", F.col("share").alias("a")).join(after.select("lane", F.col("share").alias("b")), "lane", "full_outer")
+    return joined.fillna(0.0, ["a", "b"]).select("lane", (F.col("a") * (1 - at) + F.col("b") * at).alias("share"))
+
+
+def with_frozen(arm: DataFrame, frozen: tuple[str, ...]) -> DataFrame:
+    """(lane, share): frozen lanes keep their shares, the others are scaled to fill what is left."""
+    held = F.col("lane").isin(*frozen)
+    sums = arm.agg(F.sum(F.when(held, F.col("share")).otherwise(0.0)).alias("__held"), F.sum(F.when(held, 0.0).otherwise(F.col("share"))).alias("__free"))
+    scaled = F.col("share") * (1 - F.col("__held")) / F.nullif("__free", F.lit(0.0))
+    return arm.crossJoin(F.broadcast(sums)).select("lane", F.when(held, F.col("share")).otherwise(scaled).alias("share"))
+
+
+def weighted_score(values: DataFrame, weights: DataFrame) -> DataFrame:
+    """values(run, lane, score), weights(lane, weight) -> (run, score): the mean over a run's lanes, weights renormalised."""
+    joined = values.join(weights, "lane").where("score is not null")
+    return joined.groupBy("run").agg((F.sum(F.col("score") * F.col("weight")) / F.nullif(F.sum("weight"), F.lit(0.0))).alias("score"))
+
+
+def repetition_reading(points: DataFrame, noise: float) -> DataFrame:
+    """points(epochs, score), lower scores better -> (epochs, score, excess, beyond_noise, inverted): loss over the least
+    repeated point in percent, and whether the next point, repeated more, scores better. One row a point."""
+    w = Window.orderBy("epochs")
+    base = F.first("score").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    out = points.select("epochs", "score", (100 * (F.col("score") / base - 1)).alias("excess"), (F.col("score") - base > noise).alias("beyond_noise"), (F.lead("score").over(w) < F.col("score")).alias("inverted"))
+    return out.fillna(False, ["inverted"])
+
+
+def seam_peak(losses: DataFrame, seam: int, reach: int = 40) -> DataFrame:
+    """losses(step, loss) -> one row: the greatest loss within reach after a seam over the median within reach before."""
+    before = F.when(F.col("step").between(seam - reach, seam - 1), F.col("loss"))
+    after = F.when(F.col("step").between(seam, seam + reach), F.col("loss"))
+    near = losses.where(F.col("step").between(seam - reach, seam + reach))
+    return near.agg((F.max(after) / F.nullif(F.median(before), F.lit(0.0))).alias("ratio"))
+
+
+def rank_inversions(scores: DataFrame) -> DataFrame:
+    """scores(scale, arm, score), lower better -> pairs of arms whose order at the smallest scale is reversed at a larger
+    one: (small, large, better, worse). Arms and scales are a handful."""
+    least = scores.agg(F.min("scale").alias("small"))
+    base = scores.join(F.broadcast(least), scores["scale"] == least["small"]).select("small", F.col("arm"), F.col("score").alias("s0"))
+    joined = scores.join(base, "arm").where("scale > small").select(F.col("scale").alias("large"), "small", "arm", "score", "s0")
+    a, b = joined.alias("a"), joined.alias("b")
+    worse = a.join(b, (F.col("a.large") == F.col("b.large")) & (F.col("a.s0") < F.col("b.s0")) & (F.col("a.score") > F.col("b.score")))
+    return worse.select(F.col("a.small").alias("small"), F.col("a.large").alias("large"), F.col("a.arm").alias("better"), F.col("b.arm").alias("worse"))

@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.functions.markup import to_markdown
 from tessera.operators import attribution as at
+from tessera.operators import catalogue as ct
 from tessera.operators import conversations as cv
 from tessera.operators import corpus as cp
 from tessera.operators import manifest as mf
 from tessera.operators import mixture as mx
 from tessera.operators import personal as pn
 from tessera.operators import quality as ql
+from tessera.operators import similarity as sm
+from tessera.operators import tokens as tk
+from tessera.sources import records as rc
 from tessera.sources import tables as tb
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -293,3 +298,98 @@ def repetition_worth(spark, sf_dir):
 @query()
 def sampled_mixture(spark, sf_dir):
     return mx.stratified_sample(_read(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", {"en": 0.25, "fr": 0.5, "de": 0.5, "es": 1.0})
+
+
+_COUNTS = f"""SELECT coalesce(lang, '') AS lang, CAST(length(regexp_replace({_TEXT}, '{tx.SPACE}', '', 'g')) AS BIGINT) AS tokens,
+    CAST(len(list_filter(string_split_regex({_TEXT}, '{tx.SPACE}+'), lambda x: x <> '')) AS BIGINT) AS units FROM documents"""
+_FERTILITY = f"SELECT lang, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(units) AS BIGINT) AS units, CASE WHEN sum(units) > 0 THEN sum(tokens) / sum(units) ELSE 0.0 END AS fertility FROM ({_COUNTS}) GROUP BY lang"
+
+
+def _fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    visible, words = F.length(F.regexp_replace(t, tx.SPACE, "")).cast("long"), F.size(tx.words(t)).cast("long")
+    return tk.fertility(_read(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("")).alias("lang"), visible.alias("tokens"), words.alias("units")))
+
+
+@query(f"SELECT lang, tokens, units, round(fertility, 9) AS fertility FROM ({_FERTILITY})")
+def character_fertility(spark, sf_dir):
+    return _fertility(spark, sf_dir).withColumn("fertility", F.round("fertility", 9))
+
+
+@query(
+    f"""WITH f AS ({_FERTILITY}), o AS (SELECT max(fertility) - min(fertility) AS spread, sum(tokens) / sum(units) AS mean, max(fertility) FILTER (lang = 'hi') AS x FROM f),
+    s AS (SELECT spread, mean, 1000 / spread AS score, coalesce(exp(greatest(0.0, x / 1.2 - 1)), 1.0) AS penalty FROM o)
+    SELECT round(spread, 9) AS spread, round(mean, 9) AS mean, round(score, 6) AS score, round(penalty, 9) AS penalty, round(score / penalty, 6) AS adjusted FROM s"""
+)
+def fertility_scores(spark, sf_dir):
+    s = tk.scores(_fertility(spark, sf_dir))
+    return s.select(*[F.round(c, 6 if c in ("score", "adjusted") else 9).alias(c) for c in s.columns])
+
+
+@query(
+    f"""WITH s AS (SELECT lang, sum(tokens) AS size FROM ({_COUNTS}) GROUP BY lang), w AS (SELECT lang, max(size) OVER () / size AS w FROM s)
+    SELECT lang, round(w / min(w) OVER (), 9) AS weight FROM w"""
+)
+def corpus_weights(spark, sf_dir):
+    sizes = _fertility(spark, sf_dir).select("lang", F.col("tokens").alias("size"))
+    return tk.corpus_weights(sizes).select("lang", F.round("weight", 9).alias("weight"))
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, string_split({_TEXT}, chr(10)) AS l FROM documents), e AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM l)
+    SELECT doc_id, CAST(pos AS INTEGER) AS pos, md5(line) AS line, pos % 5 = 2 AS held_out FROM e"""
+)
+def holdout_split(spark, sf_dir):
+    return tk.held_out_lines(_read(spark, sf_dir, "documents"), offset=2).withColumn("line", F.md5("line"))
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower({_TEXT}), '{tx.WORD_RUN}') AS w FROM documents)
+    SELECT doc_id, CAST(len(list_distinct(list_transform(range(1, greatest(len(w) - 4, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS BIGINT) AS n_shingles FROM w"""
+)
+def shingle_counts(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.size(sm.shingles(F.coalesce("text", F.lit("")))).cast("long").alias("n_shingles"))
+
+
+@query(
+    """WITH s AS (SELECT * FROM (VALUES (14, 8), (28, 4), (7, 16), (6, 4)) AS t(bands, rows)), p AS (SELECT i / 20 AS similarity FROM range(21) AS t(i))
+    SELECT bands, rows, round(pow(1 / bands, 1 / rows), 6) AS threshold, similarity, round(1 - pow(1 - pow(similarity, rows), bands), 6) AS captured FROM s, p"""
+)
+def capture_curve(spark, sf_dir):
+    return sm.capture_curve(spark, [(14, 8), (28, 4), (7, 16), (6, 4)]).withColumn("threshold", F.round("threshold", 6)).withColumn("captured", F.round("captured", 6))
+
+
+@query()
+def near_survivors_greedy(spark, sf_dir):
+    sets = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), sm.shingles(F.coalesce("text", F.lit(""))).alias("set"))
+    return sm.greedy_dropped(sets, sm.threshold()).select(F.col("ord").alias("doc_id"), F.col("by").alias("dropped_by"))
+
+
+@query()
+def page_markdown(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", to_markdown(F.col("html"), F.col("url")).alias("markdown"))
+
+
+@query("SELECT 'docs-' || lpad(CAST(row_number() OVER (ORDER BY doc_id) - 1 AS VARCHAR), 7, '0') AS id, doc_id FROM documents")
+def document_ids(spark, sf_dir):
+    return rc.numbered(_read(spark, sf_dir, "documents").select("doc_id"), "docs", "doc_id").select("id", "doc_id")
+
+
+@query(
+    """WITH v AS (SELECT CAST(v AS DOUBLE) AS v FROM range(64000, 320001, 8000) AS t(v)), r AS (SELECT v, 1 + 1.11 * pow(0.92, log2(v / 131072)) AS f, v / (v + 6.0 * 4096 * 32) AS c,
+      1 + 1.11 * pow(0.92, log2(64000 / 131072)) AS f0, 64000 / (64000 + 6.0 * 4096 * 32) AS c0 FROM v)
+    SELECT CAST(v AS BIGINT) AS vocab_size, round(f, 4) AS fertility, round(c, 6) AS softmax_cost, round((f0 - f) / f0, 6) AS token_saving, round((f0 - f) / f0 - (c - c0), 6) AS net_benefit FROM r"""
+)
+def vocabulary_sweep(spark, sf_dir):
+    return ct.vocabulary_sweep(spark, 131_072, 2.11, 4096, 32)
+
+
+@query(
+    f"""WITH s AS (SELECT source, CAST(substr(source, 4) AS INTEGER) AS ord, lang, count(*) AS n FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY ALL), t AS (SELECT source, sum(n) AS d FROM s GROUP BY 1)
+    SELECT lang, round(sum(n / d * d) / (SELECT sum(d) FROM t), 9) AS share FROM s JOIN t USING (source) GROUP BY lang"""
+)
+def realised_mixture(spark, sf_dir):
+    n = _read(spark, sf_dir, "documents").where("source is not null and lang is not null").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    of = n.join(n.groupBy("source").agg(F.sum("n").alias("duration")), "source")
+    stages = of.select(F.col("source").alias("ord"), F.col("duration").cast("double").alias("duration"), F.col("lang").alias("lane"), (F.col("n") / F.col("duration")).alias("share"))
+    return mx.realised_mixture(stages).select(F.col("lane").alias("lang"), F.round("share", 9).alias("share"))
