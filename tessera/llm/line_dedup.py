@@ -89,7 +89,8 @@ def extended(later: np.ndarray, earlier: np.ndarray, words: np.ndarray, place: n
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs(d, th, text) -> (d, th, runs): the line ranges to delete of each document that has any. Documents are in the
     order of (d, th); of equal runs the first stays."""
-    table = materialize(lined(docs.dropDuplicates(["d", "th"]), min_words), "lined")
+    # Repeated rows are dropped by their line hashes, so that no text is shuffled for it.
+    table = materialize(lined(docs, min_words).dropDuplicates(["d", "th"]), "lined")
     marks = table.select("d", "th", F.explode(F.array_distinct("least")).alias("m"), "hash").select(F.element_at("hash", F.col("m") + 1).alias("h"))
     repeated = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     windows = table.select("d", "th", "hash", F.posexplode(F.arrays_zip("least", "whole")).alias("i", "w"))
@@ -122,7 +123,8 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     lines = F.split("text", "\n", -1)
     inside = lambda i: F.exists("runs", lambda r: (r[0] <= i) & (i <= r[1]))
     kept = F.filter(lines, lambda x, i: ~inside(i))
-    joined = rows.join(runs, ["d", "th"], "left")
+    # The runs grow with the corpus: a merge join at every size, the only place where texts are shuffled.
+    joined = rows.join(runs.hint("merge"), ["d", "th"], "left")
     cut = joined.select("doc_id", "runs", "text", F.size(lines).cast("long").alias("n_lines"), F.when(F.col("runs").isNotNull(), kept).alias("kept"))
     return cut.select(
         "doc_id",
