@@ -3,11 +3,15 @@
 A window is a shortest run of lines with at least MIN_WORDS words. Its least line hash is a fingerprint, so any repeated
 run of MIN_WORDS words shares one. Windows whose fingerprint occurs at several positions join the first window with the
 same lines (a star, not all pairs); matches are extended both ways while lines agree, and the later run is deleted.
+
+A run may also reach MIN_WORDS only with words of the partly shared lines at its edges. Such a run holds a line break with
+half of MIN_WORDS on one side: breaks whose half context repeats (by a bit filter) emit every window of exactly MIN_WORDS
+words over them, equal windows join the first one, and the whole lines inside the later ones are deleted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,10 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialize, text_or_empty
-from tessera.llm.minhash import mix
+from tessera.llm.common import materialize, power_of_two, release, text_or_empty
+from tessera.llm.minhash import WordHashes, mix
 
 MIN_WORDS = 50
+#: Most bits of the filter of repeated contexts; what it lets through beyond them costs windows, never a wrong result.
+FILTER_BITS = 1 << 29
+BLOCK_BITS = 1 << 16
+
+_ROOT = 0x9E3779B97F4A7C15
+_UNROOT = pow(_ROOT, -1, 1 << 64)
+_BREAK, _AFTER = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_words = WordHashes()
 
 
 def line_hashes(text: str) -> tuple[list[int], list[int], list[int]]:
@@ -54,6 +66,144 @@ def winnow(hashes: list[int], words: list[int], min_words: int = MIN_WORDS) -> t
     return least, whole
 
 
+class Spans:
+    """Hashes of spans of a text's words; they cover the line breaks inside a span, not those at its edges."""
+
+    def __init__(self, text: str):
+        flat: list[str] = []
+        place, first = [], []
+        for i, line in enumerate(text.split("\n")):
+            if w := line.split():
+                place.append(i)
+                first.append(len(flat))
+                flat += w
+        self.n = n = len(flat)
+        self.place, self.first = np.array(place, np.int64), np.array(first, np.int64)
+        self.breaks = self.first[1:]
+        self.mark = np.zeros(n + 1, np.uint64)
+        self.mark[self.breaks] = _BREAK
+        power = np.cumprod(np.full(n + 1, _ROOT, np.uint64))
+        self.back = np.cumprod(np.full(n + 1, _UNROOT, np.uint64))
+        values = mix(np.fromiter(map(_words.__getitem__, flat), np.uint64, n)) + self.mark[:n]
+        self.sums = np.r_[np.zeros(1, np.uint64), np.cumsum(values * power[:n], dtype=np.uint64)]
+
+    def hashes(self, at: np.ndarray, size: int) -> np.ndarray:
+        return mix((self.sums[at + size] - self.sums[at]) * self.back[at] - self.mark[at])
+
+    def contexts(self, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(break, hash): the half windows that end, and that start, at a break."""
+        half = min_words // 2
+        before, after = self.breaks[self.breaks >= half], self.breaks[self.breaks + half <= self.n]
+        return np.r_[before, after], np.r_[self.hashes(before - half, half), mix(self.hashes(after, half) ^ _AFTER)]
+
+    def over(self, breaks: np.ndarray, size: int) -> np.ndarray:
+        """The places of the windows of `size` words that have one of the breaks inside."""
+        low, high = np.maximum(breaks - size + 1, 0), np.minimum(breaks - 1, self.n - size)
+        some = low <= high
+        step = np.zeros(self.n + 2, np.int64)
+        np.add.at(step, low[some], 1)
+        np.add.at(step, high[some] + 1, -1)
+        return np.flatnonzero(np.cumsum(step) > 0)
+
+    def lines(self, at: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+        """Of windows: the first and last whole line's places (last < first without one), the first and last touched."""
+        ends = np.r_[self.first[1:], self.n]
+        a, b = np.searchsorted(self.first, at), np.searchsorted(ends, at + size, side="right") - 1
+        u, v = np.searchsorted(self.first, at, side="right") - 1, np.searchsorted(ends, at + size)
+        whole = a <= b
+        return np.where(whole, self.place[np.where(whole, a, 0)], 0), np.where(whole, self.place[np.where(whole, b, 0)], -1), self.place[u], self.place[v]
+
+
+def contexts(docs: DataFrame, min_words: int) -> DataFrame:
+    """docs(d, th, text) -> (h): the hashes of the contexts of all line breaks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Spans(t).contexts(min_words)[1] for t in map(pa.StringScalar.as_py, batch.column(0)) if "\n" in t]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))], ["h"])
+
+    return docs.select("text").mapInArrow(run, "h long")
+
+
+def bit_filter(keys: DataFrame, n: int) -> np.ndarray:
+    """Bits by hash, of at most FILTER_BITS, packed in bytes; built block by block."""
+    bits = min(power_of_two(16 * n, BLOCK_BITS), FILTER_BITS)
+
+    def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        on = np.zeros(BLOCK_BITS, bool)
+        on[pdf["slot"].to_numpy() % BLOCK_BITS] = True
+        return pd.DataFrame({"block": [key[0]], "bytes": [np.packbits(on).tobytes()]})
+
+    slots = keys.select(F.pmod("h", F.lit(bits)).alias("slot")).withColumn("block", F.expr(f"slot div {BLOCK_BITS}"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in slots.groupBy("block").applyInPandas(block, "block long, bytes binary").toLocalIterator():
+        out[r["block"] * BLOCK_BITS // 8 : (r["block"] + 1) * BLOCK_BITS // 8] = np.frombuffer(r["bytes"], np.uint8)
+    return out
+
+
+def break_windows(docs: DataFrame, bits: np.ndarray, min_words: int) -> DataFrame:
+    """docs(d, th, text) -> (d, th, g, p, a, b, u, v), arrays over a text's windows of min_words words that have a break
+    with a context in the filter inside: hash, place, and what lines() says."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            rows, found = [], []
+            for i, text in enumerate(map(pa.StringScalar.as_py, batch.column(2))):
+                if "\n" not in text:
+                    continue
+                spans = Spans(text)
+                at, h = spans.contexts(min_words)
+                slot = (h & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
+                p = spans.over(np.unique(at[(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1]), min_words)
+                if len(p):
+                    rows.append(i)
+                    found.append((spans.hashes(p, min_words).view(np.int64), p, *spans.lines(p, min_words)))
+            arrays = [pa.array([f[k] for f in found], pa.list_(pa.int64() if k == 0 else pa.int32())) for k in range(6)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(rows, pa.int64())) for k in (0, 1)), *arrays], ["d", "th", "g", "p", "a", "b", "u", "v"])
+
+    ints = ", ".join(f"{k} array<int>" for k in "pabuv")
+    return docs.select("d", "th", "text").mapInArrow(run, f"d long, th long, g array<long>, {ints}")
+
+
+def edged_runs(docs: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
+    """docs(d, th, text), runs(d, th, runs) of whole lines -> (d, th, a, b): the whole lines inside repeated runs of
+    min_words words that have a line break inside."""
+    keys = materialize(contexts(docs, min_words), "contexts")
+    repeated = materialize(keys.groupBy("h").count().where("count > 1").select("h"), "repeated")
+    release(keys)
+    found = materialize(break_windows(docs, bit_filter(repeated, repeated.count()), min_words), "breaks")
+    # A window inside a deleted run has an earlier copy, so the first of its kind is never among those left out.
+    inside = F.exists("runs", lambda r: (r[0] <= F.col("w.u")) & (F.col("w.v") <= r[1]))
+    each = found.join(runs, ["d", "th"], "left").select("d", "th", "runs", F.explode(F.arrays_zip("g", "p", "a", "b", "u", "v")).alias("w"))
+    each = each.where(F.col("runs").isNull() | ~inside).select("d", "th", "w.g", "w.p", "w.a", "w.b")
+    windows = materialize(each, "windows")
+    release(found)
+    first = windows.groupBy("g").agg(F.min(F.struct("d", "th", "p")).alias("f"), F.count("*").alias("n")).where("n > 1").select("g", "f")
+    later = windows.where("a <= b").join(first, "g").where("not (d = f.d and th = f.th and p = f.p)")
+    return later.select("d", "th", "a", "b").distinct()
+
+
+def merged(runs: Iterable[Sequence[int]]) -> list[list[int]]:
+    """Sorted line ranges, those that share a line made one."""
+    out: list[list[int]] = []
+    for a, b in sorted((int(a), int(b)) for a, b in runs):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def all_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs(d, th, text) -> (d, th, runs): the line ranges to delete of each document that has any."""
+    whole = materialize(repeated_runs(docs, min_words), "whole")
+    ranges = whole.select("d", "th", F.explode("runs").alias("r")).unionByName(edged_runs(docs, whole, min_words).select("d", "th", F.array("a", "b").alias("r")))
+    merge = F.pandas_udf(lambda s: pd.Series([merged(x) for x in s]), T.ArrayType(T.ArrayType(T.IntegerType())))
+    return ranges.groupBy("d", "th").agg(F.collect_list("r").alias("runs")).select("d", "th", merge("runs").alias("runs"))
+
+
 def lined(docs: DataFrame, min_words: int) -> DataFrame:
     """docs(d, th, text) -> (d, th, place, hash, words, least, whole)."""
 
@@ -114,12 +264,13 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_removed, runs (array of [first, last] line), text without them.
 
+    A run has min_words words, which may count those of partly shared lines at its edges; its whole lines are deleted.
     Of equal runs the one in the document with the smallest doc_id stays (null ids come first, ties by a hash of the
     text). Blank lines neither match nor break a match. Null text counts as empty. Rows that repeat a doc_id and a text
     are one document and share its result; an empty table gives an empty table; other columns are not read."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = rows.withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("th", F.xxhash64("text"))
-    runs = materialize(repeated_runs(rows, min_words), "runs")
+    runs = materialize(all_runs(rows, min_words), "runs")
     lines = F.split("text", "\n", -1)
     inside = lambda i: F.exists("runs", lambda r: (r[0] <= i) & (i <= r[1]))
     kept = F.filter(lines, lambda x, i: ~inside(i))

@@ -237,6 +237,75 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(frame(spark, [])).count() == 0
 
 
+def brute_runs(texts, least=50):
+    """Lines to delete by the rule itself: whole lines inside a run of words, line breaks among them, that an earlier
+    place has too; a run has a break inside or is of whole lines on both sides."""
+    rows = []
+    for t in texts:
+        lines = [(i, x.split()) for i, x in enumerate((t or "").split("\n")) if x.split()]
+        rows.append(([i for i, _ in lines], [w for _, w in lines]))
+    gone = [set() for _ in texts]
+    seen = set()
+    for d, (place, lines) in enumerate(rows):
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                if sum(map(len, lines[i : j + 1])) >= least:
+                    key = tuple(map(tuple, lines[i : j + 1]))
+                    if key in seen:
+                        gone[d].update(range(place[i], place[j] + 1))
+                    seen.add(key)
+        flat = [(w, k) for k, line in enumerate(lines) for w in line]
+        for p in range(len(flat) - least + 1):
+            part = flat[p : p + least]
+            if part[0][1] == part[-1][1]:
+                continue
+            key = tuple((w, k - part[0][1]) for w, k in part)
+            if key in seen:
+                whole = [k for k in range(part[0][1], part[-1][1] + 1) if sum(x == k for _, x in part) == len(lines[k])]
+                if whole:
+                    gone[d].update(range(place[whole[0]], place[whole[-1]] + 1))
+            seen.add(key)
+    return gone
+
+
+def test_line_dedup_counts_partly_shared_edge_lines(spark):
+    word = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    edged = [f"own start {word('p', 20)}\n{word('q', 20)}\n{word('r', 15)} own end", f"other {word('p', 20)}\n{word('q', 20)}\n{word('r', 15)} rest"]
+    short = [f"a {word('s', 10)}\n{word('t', 20)}\nb", f"c {word('s', 10)}\n{word('t', 20)}\nd"]
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(frame(spark, [*edged, *short])).collect()}
+    assert got[1]["runs"] == [[1, 1]] and got[1]["text"] == "\n".join(edged[1].split("\n")[::2])
+    assert all(got[i]["n_removed"] == 0 for i in (0, 2, 3))
+
+
+def test_line_dedup_is_brute_force(spark):
+    rng = random.Random(8)
+    pool = [[f"w{rng.randrange(4000)}" for _ in range(rng.choice([2, 8, 20, 33, 50, 70]))] for _ in range(40)]
+    passages = [[rng.choice(pool) for _ in range(6)] for _ in range(6)]
+    texts = [None, "", "\n\n"]
+    for _ in range(60):
+        lines = []
+        for _ in range(rng.randrange(1, 4)):
+            flat = [(w, k) for k, line in enumerate(rng.choice(passages)) for w in line]
+            low = rng.randrange(len(flat) // 2)
+            part = flat[low : low + rng.choice([30, 49, 50, 51, 80, 150])]
+            piece = [f"n{rng.randrange(10**6)}" for _ in range(rng.randrange(2))]
+            for x, (w, k) in enumerate(part):
+                if x and k != part[x - 1][1]:
+                    lines.append(" ".join(piece))
+                    lines += [""] * rng.randrange(2)
+                    piece = []
+                piece.append(w)
+            lines.append(" ".join(piece + [f"n{rng.randrange(10**6)}" for _ in range(rng.randrange(2))]))
+        texts.append("\n".join(lines))
+    want = brute_runs(texts)
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        assert {k for a, b in got[i]["runs"] for k in range(a, b + 1)} == want[i]
+        assert got[i]["text"] == "\n".join(x for k, x in enumerate(lines) if k not in want[i]) and got[i]["n_removed"] == len(want[i])
+    assert sum(map(bool, want)) > 20
+
+
 @pytest.mark.parametrize("name", ["op1_exact_dedup"])
 def test_oracle(spark, name):
     import duckdb
