@@ -1,7 +1,8 @@
 """Quality classifier by Bradley-Terry pairwise ranking.
 
 The strength of a document is a linear function of features of its text, learned from preference pairs (one text of
-label 1, one of label 0) by logistic loss on their feature differences. A quantile of the strengths is the threshold.
+label 1, one of label 0) by logistic loss on their feature differences. The threshold is a quantile of the strengths of
+all labelled documents, also of those beyond the fitting sample.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import text_or_empty
+from tessera.llm.common import materialize, release, text_or_empty
 
 #: At most so many labelled rows, those with the smallest hashes, are gathered to fit on; all other work covers all rows.
 SAMPLE_ROWS = 20_000
@@ -47,73 +48,115 @@ def features(text: str) -> np.ndarray:
 
 
 @dataclass(frozen=True)
-class QualityModel:
+class Ranking:
+    """What is fitted on the sample: the strength of a text."""
+
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
-    threshold: float
-    slope: float
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        """0 to 1; the threshold's strength gives THRESHOLD."""
-        strength = np.clip((x - self.mean) / self.scale, -6, 6) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(self.slope * (strength - self.threshold) + math.log(THRESHOLD / (1 - THRESHOLD)), -30, 30)))
+    def strengths(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -6, 6) @ self.weights
+
+
+@dataclass(frozen=True)
+class Cut:
+    """What all labelled documents decide: the strength that scores THRESHOLD, and the slope of the scores there."""
+
+    strength: float = -1.0
+    slope: float = 1.0
+
 
+def fit(x: np.ndarray, label: np.ndarray) -> Ranking:
+    """Without both labels: a ranking that gives all texts the strength 0.
 
-def fit(x: np.ndarray, label: np.ndarray) -> QualityModel:
-    """Without both labels: a model that gives all texts one score above the threshold."""
+    A pair's feature difference is never built: the difference of two strengths is taken from the strengths of the rows,
+    and the gradient from the sum of the pairs' residuals at each row, so memory stays at one copy of x."""
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     if not len(good) or not len(bad):
-        return QualityModel(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), -1.0, 1.0)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    z = np.clip((x - mean) / scale, -6, 6)
+        return Ranking(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH))
+    mean, scale = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64) + 1e-6
+    z = np.clip((x - mean.astype(np.float32)) / scale.astype(np.float32), -6, 6)
     rng = np.random.default_rng(SEED)
     n = PAIRS_PER_ROW * max(len(good), len(bad))
-    d = z[rng.choice(good, n)] - z[rng.choice(bad, n)]
+    better, worse = rng.choice(good, n), rng.choice(bad, n)
     w, m, v = np.zeros(z.shape[1]), np.zeros(z.shape[1]), np.zeros(z.shape[1])
     for t in range(1, STEPS + 1):  # Adam on the whole set of pairs
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        g = RIDGE * w - p @ d / n
+        s = z @ w.astype(np.float32)
+        p = 1 / (1 + np.exp(np.clip(s[better] - s[worse], -30, 30)))
+        pull = np.bincount(better, p, len(z)) - np.bincount(worse, p, len(z))
+        g = RIDGE * w - (pull.astype(np.float32) @ z) / n
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    strength = z @ w
-    share = len(bad) / len(label)
-    threshold = float(np.quantile(strength, share))
-    spread = float(strength[good].mean() - strength[bad].mean())
-    return QualityModel(mean, scale, w, threshold, 6 / max(spread, 1e-6))
+    return Ranking(mean, scale, w)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    """Fits on labelled rows that aren't held out, at most sample_rows of them (by the smallest hash of doc_id)."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select(F.col("doc_id").alias("__id"), "quality")
-    vector = F.pandas_udf(lambda s: pd.Series([features(t) for t in s]), T.ArrayType(T.DoubleType()))
+def learnable(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of the labels to learn from, one row per id (the greater label of a repeated one)."""
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+    return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Ranking:
+    """Fits on labelled rows that aren't held out, at most sample_rows of them (by the smallest hash of doc_id). Of rows
+    that repeat a doc_id one text counts, so at most sample_rows feature vectors reach the driver."""
+    chosen = learnable(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select(F.col("doc_id").alias("__id"), "quality")
+    vector = F.pandas_udf(lambda s: pd.Series([features(t).astype(np.float32).tobytes() for t in s]), T.BinaryType())
     # The sample is bounded by its parameter, so it can be sent to all tasks.
     rows = docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    found = rows.select("quality", vector("text").alias("x")).toPandas()
-    return fit(np.array(found["x"].tolist(), float).reshape(len(found), WIDTH), found["quality"].to_numpy())
+    found = rows.select("__id", "quality", vector("text").alias("x")).groupBy("__id", "quality").agg(F.min("x").alias("x")).select("quality", "x").toArrow()
+    x = np.empty((found.num_rows, WIDTH), np.float32)
+    for i, row in enumerate(found.column("x")):
+        x[i] = np.frombuffer(row.as_py(), np.float32)
+    return fit(x, found.column("quality").to_numpy())
+
+
+def strength_column(ranking: Ranking, text_col: str = "text") -> Column:
+    def strength(texts: pd.Series) -> pd.Series:
+        return pd.Series(ranking.strengths(np.array([features(t) for t in texts], float).reshape(len(texts), WIDTH)))
+
+    return F.pandas_udf(strength, T.DoubleType())(text_or_empty(text_col))
+
 
+def cut_of(strengths: DataFrame, labels: DataFrame) -> Cut:
+    """strengths(doc_id, strength), labels -> the cut over all labelled documents that aren't held out: midway between the
+    quantile of their strengths at the share of label 0 and the next strength, and a slope by the distance of the means."""
+    both = strengths.join(learnable(labels), "doc_id")
+    mean = lambda q: F.avg(F.when(F.col("quality") == q, F.col("strength")))
+    share, spread = both.agg(F.avg(1.0 - F.col("quality")), mean(1) - mean(0)).first()
+    if spread is None:
+        return Cut()
+    below = both.agg(F.percentile_approx("strength", share, 10_000)).first()[0]
+    above = both.where(F.col("strength") > below).agg(F.min("strength")).first()[0]
+    return Cut((below + (below if above is None else above)) / 2, 6 / max(spread, 1e-6))
 
-def score_column(model: QualityModel, text_col: str = "text") -> Column:
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(np.array([features(t) for t in texts], float).reshape(len(texts), WIDTH)))
 
-    return F.pandas_udf(score, T.DoubleType())(text_or_empty(text_col))
+def score_of(strength: Column, cut: Cut) -> Column:
+    """0 to 1; the cut's strength gives THRESHOLD."""
+    z = F.lit(cut.slope) * (strength - F.lit(cut.strength)) + F.lit(math.log(THRESHOLD / (1 - THRESHOLD)))
+    return 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted. Null text counts as empty; a null doc_id is held out
-    as an empty one; other columns are never read. Without usable labels every score is the same."""
-    model = train(docs, labels)
-    scored = docs.select("doc_id", held_out().alias("held_out"), score_column(model).alias("score"))
+    as an empty one; other columns are never read. Rows that repeat a doc_id are scored each by its own text. Without
+    usable labels every score is the same; an empty table gives an empty table."""
+    ranking = train(docs, labels)
+    found = materialize(docs.select(F.col("doc_id"), held_out().alias("held_out"), strength_column(ranking).alias("strength")), "strengths")
+    scored = found.select("doc_id", "held_out", score_of(F.col("strength"), cut_of(found, labels)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that the classifier rejects."""
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.where(score_column(model) >= THRESHOLD)
+    """docs without those that the classifier rejects (score under THRESHOLD); columns as they come. Labels are read from
+    sf_dir. Documents are judged row by row, so nulls, repeats and an empty table need no care."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ranking = train(docs, labels)
+    found = materialize(docs.select("doc_id", strength_column(ranking).alias("strength")), "strengths")
+    cut = cut_of(found, labels)
+    release(found)
+    return docs.where(score_of(strength_column(ranking), cut) >= THRESHOLD)
