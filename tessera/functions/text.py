@@ -22,7 +22,10 @@ NOISE = "|".join(NOISE_CLASSES.values())
 #: White space of all scripts.
 SPACE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 WORD_RUN = r"[\p{L}\p{N}\p{M}_]+"
-UNIT_RUN = r"[\p{L}\p{M}\p{N}]+"
+#: A run of letters, marks and digits, or one visible symbol.
+UNIT_RUN = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}" + SPACE[1:]
+#: Characters below U+0300 are the same in NFC, whatever stands beside them.
+BEYOND_NFC = r"[^\x{00}-\x{2FF}]"
 # Literal role markers.
 ROLE_MARKERS = ("[USER]", "[ASSISTANT]", "[SYSTEM]", "<|endoftext|>", "<|im_start|>", "<|im_end|>", "### Instruction:", "### Response:")
 # First and last code point of each script's block.
@@ -39,9 +42,30 @@ def _settle(text: str) -> str:
     return unicodedata.normalize("NFC", text)
 
 
+def _where_needed(text: Column, pattern: str, f) -> Column:
+    """f, in Arrow batches, of the texts in which a pattern occurs; the others stay in the JVM."""
+    changed = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else f(t)), T.StringType())(F.when(text.rlike(pattern), text))
+    return F.coalesce(changed, text)
+
+
 def unescape_nfc(text: Column) -> Column:
-    """Entities unescaped until nothing changes, then NFC; Spark has neither. Arrow batches."""
-    return F.pandas_udf(lambda s: s.map(lambda t: None if t is None else _settle(t)), T.StringType())(text)
+    """Entities unescaped until nothing changes, then NFC; Spark has neither."""
+    return _where_needed(text, "&|" + BEYOND_NFC, _settle)
+
+
+def nfc(text: Column) -> Column:
+    return _where_needed(text, BEYOND_NFC, lambda t: unicodedata.normalize("NFC", t))
+
+
+def strip(text: Column) -> Column:
+    """text without white space, of any script, at its ends."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def slug(text: Column) -> Column:
+    """Lower case, each run of anything but a-z and 0-9 a hyphen, none at the ends; `unnamed` when nothing is left."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.coalesce(F.nullif(plain, F.lit("")), F.lit("unnamed"))
 
 
 def strip_noise(text: Column) -> Column:
@@ -70,18 +94,22 @@ def content_hash(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE + "+"), "")
 
 
 def lower_words(text: Column) -> Column:
-    """Lower-cased runs of letters, digits, marks and underscores."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD_RUN), 0)
+    """Lower-cased runs of letters, digits, marks and underscores, of the text in NFC."""
+    return F.regexp_extract_all(F.lower(nfc(text)), F.lit(WORD_RUN), 0)
 
 
 def sentences(text: Column) -> Column:
     """Units that end after . ! ? or a danda before white space; blank ones dropped."""
-    marked = F.regexp_replace(text, "([.!?।॥])" + SPACE + "+", "$1\x01")
-    return F.filter(F.transform(F.split(marked, "\x01"), lambda s: collapse_space(s)), lambda s: s != "")
+    return collapsed_sentences(collapse_space(text))
+
+
+def collapsed_sentences(text: Column) -> Column:
+    """sentences() of a text whose white space is collapsed already."""
+    return F.array_remove(F.split(F.regexp_replace(text, "([.!?।॥]) ", "$1\x01"), " *\x01 *"), "")
 
 
 def letters(text: Column) -> Column:
@@ -94,14 +122,30 @@ def script_count(text: Column, script: str) -> Column:
     return F.length(F.regexp_replace(plain, rf"[^\x{{{low:X}}}-\x{{{high:X}}}]", "")).cast("long")
 
 
+def dominant_script(text: Column) -> Column:
+    """The block that holds most letters, of equal ones the first listed; Unknown when none has any."""
+    plain = F.regexp_replace(text, r"[^\p{L}]", "")
+    count = lambda t, low, high: F.length(F.regexp_replace(t, rf"[^\x{{{low:X}}}-\x{{{high:X}}}]", ""))
+    low, high = SCRIPTS["Latin"]
+
+    def most(t: Column) -> Column:
+        each = F.array(*[F.struct(count(t, a, b).alias("n"), F.lit(-i).alias("at"), F.lit(k).alias("name")) for i, (k, (a, b)) in enumerate(SCRIPTS.items())])
+        return let(F.array_max(each), lambda m: F.when(m["n"] > 0, m["name"]).otherwise("Unknown"))
+
+    return let(plain, lambda t: F.when(t == "", "Unknown").when(~t.rlike(rf"[^\x{{{low:X}}}-\x{{{high:X}}}]"), "Latin").otherwise(most(t)))
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once a row: lambdas would evaluate an expression again for every element."""
     return F.transform(F.array(value), body)[0]
 
 
 def trigrams(text: Column) -> Column:
+    """Runs of three characters of the text with its white space collapsed and a space at both ends; of a shorter one,
+    what there is. Characters are split once: substr() would count them from the start for every run."""
     padded = F.concat(F.lit(" "), collapse_space(text), F.lit(" "))
-    return let(padded, lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substr(t, i, F.lit(3))))
+    runs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 2, F.lit(1))), lambda i: F.array_join(F.slice(c, i, 3), ""))
+    return let(F.split(padded, ""), runs)
 
 
 def grams(tokens: Column, n: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import strip
+
 #: Formats in which a conversation is rendered.
 FORMATS = ("content", "samvaad", "chatml", "alpaca", "header")
 
@@ -29,7 +31,7 @@ def _piece(fmt: str, role: Column, text: Column) -> tuple[Column, str]:
 def rendered(turns: DataFrame) -> DataFrame:
     """turns(conv_id, turn, role, text) -> (conv_id, turns, a column for each format). Blank turns are dropped but count
     in turns; roles are lower-cased, a missing one is user."""
-    role, text = F.lower(F.coalesce(F.col("role"), F.lit("user"))), F.trim(F.coalesce(F.col("text"), F.lit("")))
+    role, text = F.lower(F.coalesce(F.col("role"), F.lit("user"))), strip(F.coalesce(F.col("text"), F.lit("")))
     each = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
     grouped = each.groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("all"))
     kept = F.filter("all", lambda t: t["text"] != "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import SPACE, letters, literal_count, sentences, words
+from tessera.functions.text import SPACE, collapse_space, collapsed_sentences, letters, literal_count
 
 # Thresholds and word lists of the rules.
 MEAN_WORD_LENGTH, SYMBOLS, TERMINAL, DUPLICATES, TOP_BIGRAM, STOP_WORDS, BULLETS, ELLIPSES, WORDS = (3.0, 10.0), 0.10, 0.30, 0.30, 0.20, 2, 0.90, 0.30, (50, 100_000)
@@ -33,8 +33,9 @@ def longest_run(sorted_values: Column) -> Column:
 def measures(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", script: Column | None = None) -> DataFrame:
     """keep and the figures that the rules judge. Shares over no lines or words take one as the count."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(*keep, text.alias("t"), words(text).alias("w"), sentences(text).alias("s"), (script if script is not None else F.lit("Latin")).alias("script"))
-    base = base.withColumn("l", F.transform("w", lambda w: F.lower(w)))
+    base = docs.select(*keep, text.alias("t"), collapse_space(text).alias("c"), (script if script is not None else F.lit("Latin")).alias("script"))
+    split = lambda c: F.array_remove(F.split(c, " "), "")
+    base = base.select("*", split(F.col("c")).alias("w"), collapsed_sentences(F.col("c")).alias("s"), split(F.lower("c")).alias("l"))
     n_words, n_lines = F.greatest(F.size("w"), F.lit(1)), F.greatest(F.size("s"), F.lit(1))
     share = lambda f: F.size(F.filter("s", f)) / n_lines
     pairs = F.zip_with(F.slice("l", 1, F.greatest(F.size("l") - 1, F.lit(0))), F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
@@ -50,7 +51,7 @@ def measures(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str
         share(lambda x: F.right(x, F.lit(1)).isin(*ENGLISH_MARKS)).alias("terminal_english"),
         share(lambda x: F.right(x, F.lit(1)).isin(*SCRIPT_MARKS)).alias("terminal_aware"),
         (1 - F.size(F.array_distinct("s")) / n_lines).alias("duplicates"),
-        (longest_run(F.array_sort(pairs)) / F.greatest(F.size("w") - 1, F.lit(1))).alias("top_bigram"),
+        (longest_run(F.sort_array(pairs)) / F.greatest(F.size("w") - 1, F.lit(1))).alias("top_bigram"),
         F.size(F.array_intersect("l", english)).cast("long").alias("stops_english"),
         F.size(F.array_intersect("l", F.coalesce(listed, english))).cast("long").alias("stops_aware"),
         share(lambda x: x.rlike(rf"^{SPACE}*[-*•·‣▪]|^{SPACE}*[0-9]+[.)]{SPACE}")).alias("bullets"),
@@ -86,5 +87,7 @@ def judged(measured: DataFrame, aware: bool = True) -> DataFrame:
 
 
 def failures(judged_rows: DataFrame, by: str = "source") -> DataFrame:
-    """Failures by rule and by corpus and rule in one pass."""
-    return judged_rows.select(by, F.explode("failing").alias("rule")).groupingSets([["rule"], [by, "rule"]], by, "rule").agg(F.count("*").alias("n"))
+    """Failures by rule and by corpus and rule in one pass. The outer form of explode keeps the planner from filtering
+    by the size of the array first, which would compute every measure once more."""
+    each = judged_rows.select(by, F.explode_outer("failing").alias("rule")).where("rule is not null")
+    return each.groupingSets([["rule"], [by, "rule"]], by, "rule").agg(F.count("*").alias("n"))

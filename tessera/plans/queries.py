@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,28 +17,11 @@ from tessera.operators import personal as pn
 from tessera.operators import quality as ql
 from tessera.operators import similarity as sm
 from tessera.operators import tokens as tk
+from tessera.plans.registry import ORACLE_SQL, QUERIES, query
+from tessera.plans.registry import read as _read
 from tessera.sources import records as rc
 from tessera.sources import tables as tb
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 _TEXT = "coalesce(text, '')"
 _COLLAPSED = f"trim(regexp_replace({_TEXT}, '{tx.SPACE}+', ' ', 'g'))"
 
@@ -77,7 +58,7 @@ def exact_first(spark, sf_dir):
 
 @query(
     f"""SELECT doc_id, len(list_filter(string_split_regex({_TEXT}, '{tx.SPACE}+'), lambda x: x <> '')) AS n_words,
-    len(regexp_extract_all({_TEXT}, '{tx.UNIT_RUN}')) AS n_units, len(regexp_extract_all(lower({_TEXT}), '{tx.WORD_RUN}')) AS n_runs,
+    len(regexp_extract_all({_TEXT}, '{tx.UNIT_RUN}')) AS n_units, len(regexp_extract_all(lower(nfc_normalize({_TEXT})), '{tx.WORD_RUN}')) AS n_runs,
     length(regexp_replace({_TEXT}, '{tx.SPACE}', '', 'g')) AS n_visible FROM documents"""
 )
 def word_units(spark, sf_dir):
@@ -100,6 +81,12 @@ def script_counts(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", *[tx.script_count(F.coalesce("text", F.lit("")), k).alias(f"n_{k.lower()}") for k in tx.SCRIPTS])
 
 
+_STOPS = {k: "[" + ", ".join(f"'{w}'" for w in some) + "]" for k, some in ql.STOP_WORD_LISTS.items()}
+_LISTED = " ".join(f"WHEN '{k}' THEN {some}" for k, some in _STOPS.items())
+_LETTERS = "regexp_replace(t, '[^\\p{L}]', '', 'g')"
+_IN_SCRIPT = ", ".join(f"{{'n': length(regexp_replace({_LETTERS}, '[^\\x{{{a:X}}}-\\x{{{b:X}}}]', '', 'g')), 'at': {-i}, 'k': '{k}'}}" for i, (k, (a, b)) in enumerate(tx.SCRIPTS.items()))
+_SCRIPT = f"list_max([{_IN_SCRIPT}]).k"
+
 _MEASURES = f"""
 WITH t AS (SELECT doc_id, source, {_TEXT} AS t FROM documents),
 s AS (SELECT doc_id, source, t, list_filter(string_split_regex(t, '{tx.SPACE}+'), lambda x: x <> '') AS w,
@@ -112,7 +99,7 @@ m AS (SELECT b.doc_id, source, len(w) AS n_words, length(regexp_replace(t, '[^\\
   len(list_filter(s, lambda x: contains('.!?', right(x, 1)))) / ns AS terminal_english,
   len(list_filter(s, lambda x: contains('.!?।॥…', right(x, 1)))) / ns AS terminal_aware,
   1 - len(list_distinct(s)) / ns AS duplicates, coalesce(g.top, 0) / greatest(len(w) - 1, 1) AS top_bigram,
-  len(list_intersect(list_distinct(l), ['the', 'be', 'to', 'of', 'and', 'that', 'have', 'with'])) AS stops_english,
+  len(list_intersect(list_distinct(l), {_STOPS['Latin']})) AS stops_english, len(list_intersect(list_distinct(l), CASE {_SCRIPT} {_LISTED} ELSE {_STOPS['Latin']} END)) AS stops_aware,
   len(list_filter(s, lambda x: regexp_matches(x, '^{tx.SPACE}*[-*•·‣▪]|^{tx.SPACE}*[0-9]+[.)]{tx.SPACE}'))) / ns AS bullets,
   len(list_filter(s, lambda x: regexp_matches(x, '(\\.\\.\\.|…){tx.SPACE}*$'))) / ns AS ellipses
   FROM b LEFT JOIN g ON g.doc_id = b.doc_id)
@@ -122,12 +109,12 @@ m AS (SELECT b.doc_id, source, len(w) AS n_words, length(regexp_replace(t, '[^\\
 @query(
     _MEASURES
     + """SELECT doc_id, n_words, round(mean_word_length, 9) AS mean_word_length, round(symbols, 9) AS symbols, round(terminal_english, 9) AS terminal_english,
-    round(terminal_aware, 9) AS terminal_aware, round(duplicates, 9) AS duplicates, round(top_bigram, 9) AS top_bigram, stops_english,
+    round(terminal_aware, 9) AS terminal_aware, round(duplicates, 9) AS duplicates, round(top_bigram, 9) AS top_bigram, stops_english, stops_aware,
     round(bullets, 9) AS bullets, round(ellipses, 9) AS ellipses FROM m"""
 )
 def quality_measures(spark, sf_dir):
-    m = ql.measures(_read(spark, sf_dir, "documents"))
-    return m.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes if c != "stops_aware"])
+    m = ql.measures(_read(spark, sf_dir, "documents"), script=tx.dominant_script(F.coalesce("text", F.lit(""))))
+    return m.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes])
 
 
 @query(
@@ -135,13 +122,13 @@ def quality_measures(spark, sf_dir):
     + """, f AS (SELECT source, unnest(list_filter([
       CASE WHEN NOT mean_word_length BETWEEN 3.0 AND 10.0 THEN 'mean_word_length' END, CASE WHEN symbols >= 0.10 THEN 'symbol_to_word_ratio' END,
       CASE WHEN terminal_aware < 0.30 THEN 'terminal_punctuation' END, CASE WHEN duplicates >= 0.30 THEN 'duplicate_lines' END,
-      CASE WHEN top_bigram >= 0.20 THEN 'top_bigram' END, CASE WHEN stops_english < 2 THEN 'stop_words' END,
+      CASE WHEN top_bigram >= 0.20 THEN 'top_bigram' END, CASE WHEN stops_aware < 2 THEN 'stop_words' END,
       CASE WHEN bullets >= 0.90 THEN 'bullet_lines' END, CASE WHEN ellipses >= 0.30 THEN 'ellipsis_lines' END,
       CASE WHEN NOT n_words BETWEEN 50 AND 100000 THEN 'word_count' END], lambda x: x IS NOT NULL)) AS rule FROM m)
     SELECT source, rule, count(*) AS n FROM f GROUP BY GROUPING SETS ((rule), (source, rule))"""
 )
 def quality_failures(spark, sf_dir):
-    return ql.failures(ql.judged(ql.measures(_read(spark, sf_dir, "documents"), ("doc_id", "source")))).select("source", "rule", "n")
+    return ql.failures(ql.judged(ql.measures(_read(spark, sf_dir, "documents"), ("doc_id", "source"), script=tx.dominant_script(F.coalesce("text", F.lit("")))))).select("source", "rule", "n")
 
 
 @query(
@@ -154,24 +141,6 @@ def budgeted_read(spark, sf_dir):
     return cp.budgeted(_read(spark, sf_dir, "documents"), F.col("n_chars"), 20_000, chunk=5).select("doc_id", "source")
 
 
-@query(
-    f"""WITH p AS (SELECT lang, ' ' || {_COLLAPSED} || ' ' AS t FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL),
-    g AS (SELECT lang, unnest(list_transform(range(1, greatest(length(t) - 2, 1) + 1), lambda i: substr(t, i, 3))) AS gram FROM p),
-    c AS (SELECT lang, gram, count(*) AS n FROM g WHERE length(gram) = 3 GROUP BY ALL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM c)
-    SELECT lang, gram, n, round(ln((n + 1) / (sum(n) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang))), 9) AS weight FROM r WHERE r <= 2000"""
-)
-def language_profiles(spark, sf_dir):
-    p = cp.language_profiles(_read(spark, sf_dir, "documents").where("lang is not null and text is not null"))
-    return p.withColumn("weight", F.round("weight", 9))
-
-
-@query()
-def language_detection(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").where("text is not null")
-    return cp.detect_language(docs, cp.language_profiles(docs.where("lang is not null")))
-
-
 @query()
 def pii_masked(spark, sf_dir):
     return pn.mask(_read(spark, sf_dir, "documents"), dial=0.5).select("doc_id", F.sha2("masked", 256).alias("masked_sha256"), F.size("spans").alias("n_spans"))
@@ -182,14 +151,14 @@ def pii_by_kind(spark, sf_dir):
     return pn.masked_by_kind(pn.mask(_read(spark, sf_dir, "documents")))
 
 
-_ITEMS = f"SELECT item_id, 'b' || (item_id % 4) AS benchmark, regexp_extract_all(lower(coalesce(text, '')), '{tx.WORD_RUN}') AS w FROM benchmark"
+_ITEMS = f"SELECT item_id, 'b' || (item_id % 4) AS benchmark, regexp_extract_all(lower(nfc_normalize(coalesce(text, ''))), '{tx.WORD_RUN}') AS w FROM benchmark"
 
 
 @query(
     f"""WITH i AS ({_ITEMS}), s AS (SELECT *, least(len(w), 13) AS width FROM i WHERE len(w) >= 6),
     x AS (SELECT item_id, benchmark, width, unnest(list_transform(range(1, len(w) - width + 2), lambda k: array_to_string(w[k:k + width - 1], ' '))) AS g FROM s),
     ix AS (SELECT width, g, arg_min(benchmark, item_id) AS benchmark FROM x GROUP BY width, g),
-    d AS (SELECT doc_id, regexp_extract_all(lower({_TEXT}), '{tx.WORD_RUN}') AS w FROM documents),
+    d AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize({_TEXT})), '{tx.WORD_RUN}') AS w FROM documents),
     e AS (SELECT DISTINCT doc_id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda k: array_to_string(w[k:k + width - 1], ' '))) AS g
       FROM d, (SELECT DISTINCT width FROM ix) WHERE len(w) >= width)
     SELECT doc_id, benchmark, count(*) AS n_hits FROM e JOIN ix USING (width, g) GROUP BY doc_id, benchmark"""
@@ -223,8 +192,8 @@ def pii_counts(spark, sf_dir):
 
 
 @query(
-    f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{tx.WORD_RUN}') AS w FROM documents),
-    i AS (SELECT regexp_extract_all(lower(text), '{tx.WORD_RUN}') AS w FROM benchmark),
+    f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '{tx.WORD_RUN}') AS w FROM documents),
+    i AS (SELECT regexp_extract_all(lower(nfc_normalize(text)), '{tx.WORD_RUN}') AS w FROM benchmark),
     x AS (SELECT DISTINCT unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) AS g FROM i WHERE len(w) >= 13),
     d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) AS g FROM w WHERE len(w) >= 13)
     SELECT doc_id, count(*) AS n_hits FROM d SEMI JOIN x USING (g) GROUP BY doc_id"""
@@ -246,7 +215,7 @@ def language_breakdown(spark, sf_dir):
     return _read(spark, sf_dir, "documents").groupBy(F.coalesce(F.nullif("lang", F.lit("")), F.lit("unknown")).alias("lang")).agg(F.count("*").alias("n"))
 
 
-_TURNS = "(SELECT conv_id, turn, lower(coalesce(role, 'user')) AS r, trim(coalesce(text, '')) AS t FROM conversations)"
+_TURNS = f"(SELECT conv_id, turn, lower(coalesce(role, 'user')) AS r, regexp_replace({_TEXT}, '^{tx.SPACE}+|{tx.SPACE}+$', '', 'g') AS t FROM conversations)"
 _RENDERED = f"""SELECT conv_id, count(*) AS turns,
     coalesce(string_agg(t, chr(10) || chr(10) ORDER BY turn) FILTER (t <> ''), '') AS content,
     coalesce(string_agg(CASE WHEN r IN ('user', 'human') THEN '[USER]' WHEN r IN ('assistant', 'gpt') THEN '[ASSISTANT]' ELSE '[SYSTEM]' END || ' ' || t, ' ' ORDER BY turn) FILTER (t <> ''), '') AS samvaad,
@@ -344,7 +313,7 @@ def holdout_split(spark, sf_dir):
 
 
 @query(
-    f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower({_TEXT}), '{tx.WORD_RUN}') AS w FROM documents)
+    f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize({_TEXT})), '{tx.WORD_RUN}') AS w FROM documents)
     SELECT doc_id, CAST(len(list_distinct(list_transform(range(1, greatest(len(w) - 4, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS BIGINT) AS n_shingles FROM w"""
 )
 def shingle_counts(spark, sf_dir):
@@ -393,3 +362,7 @@ def realised_mixture(spark, sf_dir):
     of = n.join(n.groupBy("source").agg(F.sum("n").alias("duration")), "source")
     stages = of.select(F.col("source").alias("ord"), F.col("duration").cast("double").alias("duration"), F.col("lang").alias("lane"), (F.col("n") / F.col("duration")).alias("share"))
     return mx.realised_mixture(stages).select(F.col("lane").alias("lang"), F.round("share", 9).alias("share"))
+
+
+# Registered by import.
+from tessera.plans import languages, near, small  # noqa: E402, F401
