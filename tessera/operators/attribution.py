@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import let, lower_words
+from tessera.sources.tables import cut
 
 WIDEST, NARROWEST = 13, 6
 
@@ -53,3 +54,28 @@ def collisions(docs: DataFrame, index: DataFrame, text_col: str = "text") -> Dat
     widths = F.array(*[F.struct(F.lit(n).alias("width"), digests(F.col("w"), n).alias("d")) for n in held])
     cut = words.select("doc_id", F.inline(widths)).select("doc_id", "width", F.explode("d").alias("digest"))
     return cut.join(index, ["width", "digest"]).groupBy("doc_id", "benchmark").agg(F.count("*").alias("n_hits"))
+
+
+def recovered(docs: DataFrame, planted: DataFrame, text_col: str = "text") -> DataFrame:
+    """(canary, recovered): planted strings whose runs of WIDEST words the same join finds in docs; all must be."""
+    index = planted.select("canary", F.explode(digests(lower_words(F.col("text")), WIDEST)).alias("digest"))
+    found = docs.select(F.explode(digests(lower_words(F.coalesce(F.col(text_col), F.lit(""))), WIDEST)).alias("digest"))
+    hit = index.join(found, "digest", "left_semi").select("canary").distinct()
+    return hit.withColumn("recovered", F.lit(True))
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, planted: DataFrame | None = None, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(documents without a run of WIDEST words of any item or canary, report): the report is one row (docs_in, flagged,
+    canary_only, docs_out, coverage). Without items and canaries nothing is checked, and the coverage says so."""
+    runs = lambda rows: rows.select(F.explode(digests(lower_words(F.coalesce(F.col(text_col), F.lit(""))), WIDEST)).alias("digest"))
+    index = runs(items).withColumn("held", F.lit(True))
+    if planted is not None:
+        index = index.unionByName(planted.select(F.explode(digests(lower_words(F.col("text")), WIDEST)).alias("digest"), F.lit(False).alias("held")))
+    index = index.groupBy("digest").agg(F.max("held").alias("held"))
+    each = docs.select("doc_id", F.explode(digests(lower_words(F.coalesce(F.col(text_col), F.lit(""))), WIDEST)).alias("digest"))
+    flagged = cut(each.join(index, "digest").groupBy("doc_id").agg(F.max("held").alias("held")))
+    n = docs.agg(F.count("*").alias("docs_in"))
+    gone = flagged.agg(F.count("*").alias("flagged"), F.count_if(~F.col("held")).alias("canary_only"))
+    said = index.agg(F.when(F.count_if("held") > 0, "held-out").when(F.count("*") > 0, "canary-only").otherwise("unchecked").alias("coverage"))
+    report = n.crossJoin(gone).crossJoin(said).select("docs_in", "flagged", "canary_only", (F.col("docs_in") - F.col("flagged")).alias("docs_out"), "coverage")  # of one row each
+    return docs.join(flagged.select("doc_id"), "doc_id", "left_anti"), report

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import strip
+from tessera.functions.text import collapse_space, let, literal_count, strip
 
 #: Formats in which a conversation is rendered.
 FORMATS = ("content", "samvaad", "chatml", "alpaca", "header")
@@ -49,3 +49,47 @@ def format_costs(conversations: DataFrame, cost: Column | None = None) -> DataFr
     one = conversations.agg(*[size(f) for f in FORMATS])
     long = one.select("content", F.explode(F.create_map(*[x for f in FORMATS for x in (F.lit(f), F.col(f))])).alias("format", "units"))
     return long.select("format", "units", (F.col("units") - F.col("content")).alias("overhead"), F.round((F.col("units") - F.col("content")) / F.col("content"), 4).alias("share"))
+
+
+def cost_per_turn(conversations: DataFrame) -> DataFrame:
+    """(format, per_turn): what each format adds to the bare content, over all turns."""
+    one = conversations.agg(F.nullif(F.sum("turns"), F.lit(0)).alias("__turns"), *[F.sum(F.length(f)).alias(f) for f in FORMATS])
+    long = one.select("__turns", F.col("content").alias("__content"), F.explode(F.create_map(*[x for f in FORMATS for x in (F.lit(f), F.col(f))])).alias("format", "units"))
+    return long.select("format", F.round((F.col("units") - F.col("__content")) / F.col("__turns"), 2).alias("per_turn"))
+
+
+#: Lengths of a turn for which its overhead is told.
+TURN_LENGTHS = (15, 50, 200, 2000)
+
+
+def projected(per_turn: DataFrame, lengths: tuple[int, ...] = TURN_LENGTHS) -> DataFrame:
+    """(length, format, share): the part of a turn of that length which the format's marks take."""
+    each = per_turn.select("format", "per_turn", F.explode(F.array(*map(F.lit, lengths))).alias("length"))
+    return each.select("length", "format", F.round(F.col("per_turn") / F.nullif(F.col("length") + F.col("per_turn"), F.lit(0.0)), 4).alias("share"))
+
+
+def rebuilt(text: Column, turns: Column) -> Column:
+    """An array of turns from a text of which only their number is known: as many equal runs of words; words beyond them
+    are left out, and a text of fewer words has fewer turns."""
+    w = F.array_remove(F.split(collapse_space(text), " "), "")
+
+    def cut(words: Column) -> Column:
+        size = F.greatest(F.lit(1), F.floor(F.size(words) / F.greatest(turns, F.lit(1))).cast("int"))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), size)
+        chunks = F.slice(F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " ")), F.lit(1), F.greatest(turns, F.lit(1)))
+        return F.when(F.size(words) > 0, chunks).otherwise(F.array().cast("array<string>"))
+
+    return let(w, cut)
+
+
+def format_report(docs: DataFrame, markers: tuple[str, ...], text_col: str = "text") -> DataFrame:
+    """(marker, n, documents): literal role markers in texts, which are counted and never removed."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    each = docs.select(F.explode(F.array(*[F.struct(F.lit(m).alias("marker"), literal_count(t, m).alias("k")) for m in markers])).alias("m")).select("m.*")
+    return each.groupBy("marker").agg(F.sum("k").alias("n"), F.count_if(F.col("k") > 0).alias("documents"))
+
+
+def worst_format(costs: DataFrame) -> DataFrame:
+    """One row: the format whose markup takes the greatest share of its own length."""
+    own = F.coalesce(F.col("overhead") / F.nullif("units", F.lit(0)), F.lit(0.0))
+    return costs.select("format", F.round(own, 4).alias("share")).agg(F.max_by("format", F.struct("share", "format")).alias("format"), F.max("share").alias("share"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +75,76 @@ def held_out_lines(docs: DataFrame, offset: int = 0, every: int = EVERY, text_co
 def stability(rows: DataFrame, value: str = "score", by: str = "recipe") -> DataFrame:
     """Mean, sample deviation, least and greatest value of each recipe over its splits."""
     return rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("stdev"), F.min(value).alias("low"), F.max(value).alias("high"))
+
+
+def parity(table: DataFrame, base: str = "en", target: float = 1.5, by: str = "tokenizer", key: str = "lang") -> DataFrame:
+    """(tokenizer, parity, met): the worst fertility of any other language over that of the base language."""
+    worst, own = F.max(F.when(F.col(key) != base, F.col("fertility"))), F.max(F.when(F.col(key) == base, F.col("fertility")))
+    ratio = worst / F.nullif(own, F.lit(0.0))
+    return table.groupBy(by).agg(ratio.alias("parity"), (ratio <= target).alias("met"))
+
+
+def ranked(results: DataFrame) -> DataFrame:
+    """results(spec, adjusted, error) with a place: the best adjusted score first, failures last. One row a run."""
+    return results.withColumn("place", F.row_number().over(Window.orderBy(F.col("error").isNotNull(), F.col("adjusted").desc_nulls_last(), "spec")))
+
+
+#: Distinct words that a worker remembers before it starts anew.
+MEMO_ENTRIES = 1 << 17
+
+
+def counted_tokens(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """docs with tokens, words and unknown: what a vocabulary file of the tokenizers library makes of each text. A word
+    between white space is encoded once a worker and its counts are summed, which is right for vocabularies that don't
+    merge over white space; null counts as empty. The file is read, never trained."""
+    from tokenizers import Tokenizer
+
+    made: dict[str, tuple] = {}
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        if path not in made:
+            t = Tokenizer.from_file(path)
+            t.no_truncation()
+            t.no_padding()
+            unk = getattr(t.model, "unk_token", None)
+            made[path] = t, t.token_to_id(unk) if unk else None, {}
+        t, unk, memo = made[path]
+        out = []
+        for text in texts:
+            words = text.split()
+            n = unknown = 0
+            for w in words:
+                if w not in memo:
+                    if len(memo) >= MEMO_ENTRIES:
+                        memo.clear()
+                    ids = t.encode(w, add_special_tokens=False).ids
+                    memo[w] = len(ids), ids.count(unk)
+                a, b = memo[w]
+                n += a
+                unknown += b
+            out.append((n, len(words), unknown))
+        return pd.DataFrame(out, columns=["tokens", "words", "unknown"])
+
+    found = F.pandas_udf(run, "tokens long, words long, unknown long")(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.withColumn("__c", found).select("*", "__c.tokens", "__c.words", "__c.unknown").drop("__c")
+
+
+def counted_once(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """(doc_id, tokens, words, unknown): each distinct text is counted once, and joined back by its hash."""
+    hashed = docs.select("doc_id", F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("hash", F.sha2("text", 256))
+    counts = counted_tokens(hashed.select("hash", "text").dropDuplicates(["hash"]), path).drop("text")
+    return hashed.select("doc_id", "hash").join(counts, "hash").drop("hash")
+
+
+def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """docs with faithful: whether decoding a text's ids gives the text again."""
+    from tokenizers import Tokenizer
+
+    made: dict[str, Tokenizer] = {}
+
+    def run(texts: pd.Series) -> pd.Series:
+        t = made.setdefault(path, Tokenizer.from_file(path))
+        coded = t.encode_batch(texts.tolist(), add_special_tokens=False)
+        return pd.Series([t.decode(c.ids, skip_special_tokens=False) == x for c, x in zip(coded, texts)])
+
+    return docs.withColumn("faithful", F.pandas_udf(run, "boolean")(F.coalesce(F.col(text_col), F.lit(""))))
