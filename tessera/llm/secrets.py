@@ -20,7 +20,8 @@ KINDS: tuple[tuple[str, str, bool, str, str, int, int], ...] = (
     ("hex", "secret", True, "[0-9a-f]{24}", "([0-9a-f]{24,})", 1, 24),
     ("bare", "secret", False, "[A-Za-z0-9/+]{40}", "(?<![A-Za-z0-9/+=])([A-Za-z0-9/+]{40})(?![A-Za-z0-9/+=])", 1, 40),
     ("login", "id", False, "(?i:user|login)", r"""(?i:\b(?:user(?:_?name|_?id)?|login))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]+)""", 1, 3),
-    ("endpoint", "endpoint", False, "://|amazonaws", r"""((?:[a-z][a-z0-9+]*://[A-Za-z0-9.-]+[^\x20\x09-\x0D"'<>]*|[a-z0-9.-]+\.amazonaws\.com))""", 1, 8),
+    # Bounded scheme and labels, each tried from the start of its run only: linear in runs of letters, digits and dots.
+    ("endpoint", "endpoint", False, "://|amazonaws", r"""((?:(?<![a-z+])[a-z][a-z0-9+]{0,31}://[A-Za-z0-9.-]++[^\x20\x09-\x0D"'<>]*+|(?<![a-z0-9.-])(?:[a-z0-9-]{1,63}+\.){1,16}?amazonaws\.com))""", 1, 8),
 )
 #: role -> the roles that complement it
 COMPLEMENTS = {"secret": ("id", "endpoint"), "id": ("secret",), "endpoint": ("secret",)}
