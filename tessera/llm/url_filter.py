@@ -4,6 +4,7 @@ Explicit rules (host suffix and path prefix, the longest wins) decide what they
 decision of their equivalence class: connected components over redirect and canonical-link edges, which come from
 rel=canonical links, meta refreshes, an optional table of observed redirects, and the redirects that sites serve by
 convention (fragment, `www.`, default port, trailing slash, index page and tracking parameters lead to one address).
+Rules are held against every address of a class, also those that are only linked to and aren't among the pages.
 """
 
 from __future__ import annotations
@@ -101,8 +102,8 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | N
     """One row per row of pages: page_id, host, path, rule, verdict, component (of its resource).
 
     Host and path are empty for a null url or one without `://`; such pages have no links and are allowed. The verdict is
-    the fitting rule's. Without one it is `block` when the page's class holds a blocked page and no explicitly allowed
-    one (explicit allow has precedence over a propagated block), else `allow`. Null html declares no links. Repeated
+    the fitting rule's. Without one it is `block` when a rule blocks an address of the page's class, crawled or not, and
+    none allows one (explicit allow has precedence over a propagated block), else `allow`. Null html declares no links. Repeated
     rows each get their row; an empty table gives an empty table; other columns are not read. redirects: optional
     (src, dst) urls."""
     html = F.coalesce(F.col(html_col), F.lit("")) if html_col else F.lit("")
@@ -115,10 +116,15 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | N
     if redirects is not None:
         linked = linked.unionAll(redirects.select(resource(F.col("src")).alias("key"), resource(F.col("dst")).alias("to")))
     # A target's own conventional address joins it to pages that reach it in another form.
-    edges = linked.select(F.md5("key").alias("a"), F.md5("to").alias("b")).unionAll(linked.select(F.md5("to").alias("a"), F.md5(conventional(F.col("to"))).alias("b")))
-    components = materialize(connected_components(edges), "components")
-    with_class = judged.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    said = with_class.where("said is not null").groupBy("component").agg(F.bool_or(F.col("said") == "block").alias("blocked"), F.bool_or(F.col("said") == "allow").alias("allowed"))
-    spread = said.where("blocked and not allowed").select("component", F.lit(True).alias("spread"))
+    linked = materialize(linked.unionAll(linked.select(F.col("to").alias("key"), conventional(F.col("to")).alias("to"))).where("key != to").distinct(), "linked")
+    components = materialize(connected_components(linked.select(F.md5("key").alias("a"), F.md5("to").alias("b"))), "components")
+
+    address = F.concat(F.lit("x://"), F.col("key"))
+    ends = linked.select("key").unionAll(linked.select(F.col("to").alias("key"))).distinct()
+    ruled = ends.select(F.md5("key").alias("node"), best_rule(host_of(address), path_of(address), rules)["verdict"].alias("said")).where("said is not null")
+    said = ruled.join(components, "node").groupBy("component").agg(F.bool_or(F.col("said") == "block").alias("blocked"), F.bool_or(F.col("said") == "allow").alias("allowed"))
+    spread = said.where("blocked and not allowed").select(F.col("component").alias("__class"), F.lit(True).alias("spread"))
+    # A page without edges is alone in its class, and its own rule is all that is said there.
+    classes = components.join(spread, F.col("component") == F.col("__class"), "left").select("node", "component", "spread")
     verdict = F.coalesce("said", F.when(F.col("spread") & (F.col("host") != ""), "block"), F.lit("allow"))
-    return with_class.join(spread, "component", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "component")
+    return judged.join(classes, "node", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("component", "node").alias("component"))
