@@ -29,8 +29,9 @@ FILTER_BITS, FILTER_FEATURES, HASHES = 2048, 160, 5
 LEVELS = 1024
 #: Windows of less entropy (bits) are never improbable features: runs of one or two characters.
 LEAST_ENTROPY = 1.0
-#: Bytes of text that a worker handles at once, and documents that a bucket of neighbours is planned to hold.
-CHUNK_BYTES, BUCKET_ROWS, MOST_BUCKETS = 1 << 20, 8192, 50_000
+#: Bytes of text that a worker handles at once, and documents that a bucket of neighbours is planned to hold: few, so that
+#: buckets dealt by hash fill tasks evenly. Buckets grow only where MOST_BUCKETS don't suffice; they are read as streams.
+CHUNK_BYTES, BUCKET_ROWS, MOST_BUCKETS = 1 << 20, 512, 50_000
 
 _c = np.arange(WINDOW + 2, dtype=np.float64)
 _SUM = np.zeros(WINDOW + 2)

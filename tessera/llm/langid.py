@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ BUCKETS = 1 << 14
 #: Trigrams are far from independent: a text's likelihood counts as that of at most so many of them.
 EFFECTIVE_TRIGRAMS = 60
 SMOOTHING, PRIOR_WEIGHT, EVIDENCE_SMOOTHING = 0.5, 4.0, 1.0
+#: More distinct languages than this are taken for a wrong column and raise; at most so many profiles reach the driver.
+MOST_LANGUAGES = 400
 
 _HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->")
 _TAG = re.compile(r"<[^>]*>")
@@ -45,8 +48,8 @@ def trigram_counts(text: str) -> np.ndarray:
 
 
 def train_profiles(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """docs(lang, text) -> languages and their log probabilities of the buckets, from all rows with a language. At most
-    BUCKETS counts a language reach the driver."""
+    """docs(lang, text) -> languages and their log probabilities of the buckets, from all rows with a language. One
+    profile a language reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -59,12 +62,19 @@ def train_profiles(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
 
     known = docs.where(F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), text_or_empty("text").alias("text"))
-    counts = known.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counts["lang"].unique()) or ["und"]
-    table = np.full((len(langs), BUCKETS), SMOOTHING)
-    for k, lang in enumerate(langs):
-        part = counts[counts["lang"] == lang]
-        table[k, part["bucket"].to_numpy(int)] += part["n"].to_numpy(float)
+    counts = known.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+
+    def profile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        row = np.zeros(BUCKETS)
+        row[pdf["bucket"].to_numpy(int)] = pdf["n"].to_numpy(float)
+        return pd.DataFrame({"lang": [key[0]], "counts": [row.tobytes()]})
+
+    rows = counts.groupBy("lang").applyInPandas(profile, "lang string, counts binary").limit(MOST_LANGUAGES + 1).collect()
+    if len(rows) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    rows = sorted(rows, key=lambda r: r["lang"])
+    langs = [r["lang"] for r in rows] or ["und"]
+    table = np.array([np.frombuffer(r["counts"]) for r in rows] or [np.zeros(BUCKETS)]) + SMOOTHING
     return langs, np.log(table / table.sum(axis=1, keepdims=True))
 
 
