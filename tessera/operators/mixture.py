@@ -55,7 +55,7 @@ def seed_statistics(scores: DataFrame, base: str) -> DataFrame:
 
 def stratified_sample(rows: DataFrame, key: str, fractions: dict[str, float], order: str = "doc_id", seed: int = 0) -> DataFrame:
     """Rows whose hash falls below their stratum's fraction: the same rows in any partitioning, without a shuffle."""
-    u = F.pmod(F.xxhash64(F.col(order), F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
+    u = uniform(F.lit(seed), F.col(order))
     limit = F.lit(0.0)
     for k, f in fractions.items():
         limit = F.when(F.col(key) == k, F.lit(f)).otherwise(limit)

