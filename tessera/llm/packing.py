@@ -3,7 +3,9 @@
 Pieces are dealt at random to shards of bounded size. Each shard is solved by several islands with seeds of their own;
 in every epoch each island receives the best packing of its neighbour (elite migration, through a written table).
 Crossover injects whole well-filled bins of one parent into the other, removes the bins that hold duplicates of their
-pieces, and best-fits what was displaced. The poorly filled bins of all shards are packed once more together.
+pieces, and best-fits what was displaced: first in place of pieces of open bins that fill them worse (those are displaced
+then), the rest in decreasing order. An island ends when its packing meets the lower bound, the sum of lengths over the
+capacity; plain decreasing best-fit often does at once. The poorly filled bins of all shards are packed once more.
 """
 
 from __future__ import annotations
@@ -21,11 +23,14 @@ from tokenizers import Tokenizer
 from tessera.llm.common import materialize, text_or_empty
 
 CAPACITY = 2048
-SHARD_ITEMS, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 16_384, 3, 2, 16, 5
+SHARD_ITEMS, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 16_384, 3, 2, 80, 10
 #: Share of a bin from which it counts as well filled; below LEFT_OVER a bin is packed again with those of other shards.
 WELL_FILLED, LEFT_OVER = 0.998, 0.97
+#: Bins that a crossover injects at most, open ones that it breaks up, and those in which displaced pieces are swapped;
+#: beyond so many displaced pieces none are.
+INJECTED, OPENED, SWAP_BINS, SWAP_ITEMS = 3, 3, 256, 80
 #: Distinct words that a worker remembers before it starts anew.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 600_000
 
 
 #: 1: ASCII letters, 2: ASCII digits and symbols but for the apostrophe
@@ -144,54 +149,114 @@ def fitness(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[int,
     return -len(fill), float((fill**2).mean()) if len(fill) else 0.0
 
 
+def swapped(lengths: np.ndarray, bins: np.ndarray, free: list[int], capacity: int, rng: np.random.Generator) -> list[int]:
+    """Puts one or two displaced pieces in place of one or two pieces of an open bin wherever they fill it better, until
+    that's nowhere the case; changes bins and returns what is displaced then."""
+    for _ in range(len(free)):
+        placed = np.flatnonzero(bins >= 0)
+        fill = np.bincount(bins[placed], lengths[placed]).astype(np.int64)
+        opened = np.flatnonzero((fill > 0) & (fill < capacity))
+        if not len(opened) or not free:
+            break
+        if len(opened) > SWAP_BINS:
+            opened = rng.choice(opened, SWAP_BINS, replace=False)
+        chosen = np.zeros(len(fill), bool)
+        chosen[opened] = True
+        items = placed[chosen[bins[placed]]]
+        items = items[np.argsort(bins[items], kind="stable")]
+        where = bins[items]
+        parts = [(items, np.full(len(items), -1))]  # the pieces of a bin, and all pairs of them
+        for k in range(1, len(items)):
+            same = where[k:] == where[:-k]
+            if not same.any():
+                break
+            parts.append((items[:-k][same], items[k:][same]))
+        one, two = (np.concatenate(x) for x in zip(*parts))
+        size = lengths[one] + np.where(two >= 0, lengths[two], 0)
+        target = bins[one]
+        f = np.array(free)
+        i, j = np.triu_indices(len(f), 1)
+        first, second = np.r_[f, f[i]], np.r_[np.full(len(f), -1), f[j]]
+        sums = np.r_[lengths[f], lengths[f[i]] + lengths[f[j]]]
+        order = np.argsort(sums, kind="stable")
+        at = np.searchsorted(sums[order], size + capacity - fill[target], side="right") - 1
+        gain = np.where(at >= 0, sums[order][at], 0) - size
+        done: set[int] = set()
+        used: set[int] = set()
+        for x in np.argsort(-gain, kind="stable")[:64].tolist():
+            if gain[x] <= 0:
+                break
+            b, new = int(target[x]), {int(first[order[at[x]]]), int(second[order[at[x]]])} - {-1}
+            if b in done or used & new:
+                continue
+            done.add(b)
+            used |= new
+            for old in {int(one[x]), int(two[x])} - {-1}:
+                bins[old] = -1
+                free.append(old)
+            for q in new:
+                bins[q] = b
+                free.remove(q)
+        if not done:
+            break
+    return free
+
+
 def crossover(lengths: np.ndarray, base: np.ndarray, donor: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
     fill = np.bincount(donor, lengths)
     good = np.flatnonzero(fill >= WELL_FILLED * capacity)
     if not len(good):
         good = np.argsort(fill)[-max(1, len(fill) // 10) :]
-    chosen = rng.choice(good, max(1, min(len(good), int(len(fill) * rng.uniform(0.02, 0.12)))), replace=False)
-    injected = np.isin(donor, chosen)
-    broken = np.zeros(base.max() + 1, bool)
+    injected = np.isin(donor, rng.choice(good, min(len(good), int(rng.integers(1, INJECTED + 1))), replace=False))
+    fill = np.bincount(base, lengths)
+    broken = np.zeros(len(fill), bool)
     broken[base[injected]] = True
-    weakest = np.bincount(base, lengths, minlength=len(broken))
-    broken |= weakest < np.quantile(weakest, 0.01)  # the worst bins are always packed anew
-    displaced = np.flatnonzero(broken[base] & ~injected)
-    child = np.full(len(base), -1, np.int64)
-    kept = ~broken[base] & ~injected
-    _, child[kept] = np.unique(base[kept], return_inverse=True)
-    n = int(child.max()) + 1
+    opened = np.flatnonzero(fill < WELL_FILLED * capacity)
+    if len(opened):
+        broken[rng.choice(opened, min(len(opened), OPENED), replace=False)] = True
+    child = np.where(broken[base], -1, base)
+    displaced = np.flatnonzero(broken[base] & ~injected).tolist()
     _, again = np.unique(donor[injected], return_inverse=True)
-    child[injected] = again + n
+    child[injected] = again + len(fill)
+    if len(displaced) <= SWAP_ITEMS:
+        displaced = swapped(lengths, child, displaced, capacity, rng)
     known = child >= 0
     room = (capacity - np.bincount(child[known], lengths[known])).astype(np.int64).tolist() if known.any() else []
-    noise = rng.uniform(0.9, 1.0, len(displaced)) if rng.random() < 0.5 else 1.0
-    best_fit(lengths, displaced[np.argsort(-lengths[displaced] * noise, kind="stable")], child, room, capacity)
-    return child
+    displaced = np.array(displaced, np.int64)
+    best_fit(lengths, displaced[np.argsort(-lengths[displaced], kind="stable")], child, room, capacity)
+    return np.unique(child, return_inverse=True)[1]
 
 
 def evolve(lengths: np.ndarray, elites: list[np.ndarray], capacity: int, seed: int) -> np.ndarray:
     """The best packing of an island after its generations; elites: packings it starts from."""
     rng = np.random.default_rng(seed)
     least = -(-int(lengths.sum()) // capacity)
-    population = list(elites)
-    for k in range(POPULATION - len(elites)):
-        noise = rng.uniform(1 - 0.1 * k, 1.0, len(lengths)) if k else 1.0
+
+    def fitted(noise: np.ndarray | float) -> np.ndarray:
         bins = np.full(len(lengths), -1, np.int64)
         best_fit(lengths, np.argsort(-lengths * noise, kind="stable"), bins, [], capacity)
-        population.append(bins)
-    rated = sorted(((fitness(lengths, b, capacity), k, b) for k, b in enumerate(population)), key=lambda x: x[:2], reverse=True)
+        return bins
+
+    population = [*elites, fitted(1.0)]
+    rate = lambda bins, k: (fitness(lengths, bins, capacity), k, bins)
+    best = lambda rated: sorted(rated, key=lambda x: x[:2], reverse=True)[:POPULATION]
+    rated = best(rate(b, k) for k, b in enumerate(population))
+    if -rated[0][0][0] <= least:
+        return rated[0][2]
+    rated = best([*rated, *(rate(fitted(rng.uniform(1 - 0.05 * k, 1.0, len(lengths))), k) for k in range(len(population), POPULATION))])
     for g in range(GENERATIONS):
-        if -rated[0][0][0] <= least:
+        if -rated[0][0][0] <= least or len(rated) < 2:
             break
         i, j = rng.choice(len(rated), 2, replace=False)
-        child = crossover(lengths, rated[min(i, j)][2], rated[max(i, j)][2], capacity, rng)
-        rated = sorted([*rated, (fitness(lengths, child, capacity), POPULATION + g, child)], key=lambda x: x[:2], reverse=True)[:POPULATION]
+        child = rate(crossover(lengths, rated[min(i, j)][2], rated[max(i, j)][2], capacity, rng), POPULATION + g)
+        if all(child[0] != r[0] for r in rated):  # twins would take the population over
+            rated = best([*rated, child])
     return rated[0][2]
 
 
-def _solve(items: DataFrame, capacity: int, shards: int) -> DataFrame:
-    """items(item, length) -> (item, shard, bin, at, fill): at is the place in the bin, fill the bin's length."""
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)))
+def _solve(items: DataFrame, capacity: int) -> DataFrame:
+    """items(item, length, shard, bin), bin being a first packing's or null -> the same columns with at, the place in the
+    bin, and fill, the bin's length. A first packing is an elite of all islands, so the result is never worse."""
     island = F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island")
 
     def epoch(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -199,7 +264,7 @@ def _solve(items: DataFrame, capacity: int, shards: int) -> DataFrame:
         sources = pdf["source"].unique()
         first = pdf[pdf["source"] == sources[0]]
         lengths = first["length"].to_numpy(np.int64)
-        elites = [pdf.loc[pdf["source"] == s, "bin"].to_numpy(np.int64) for s in sorted(sources) if s >= 0]
+        elites = [np.unique(pdf.loc[pdf["source"] == s, "bin"].to_numpy(np.int64), return_inverse=True)[1] for s in sorted(sources) if s >= 0]
         bins = evolve(lengths, elites, capacity, seed=int(key[0]) * 1009 + int(key[1]) * 31 + len(elites))
         count, squares = fitness(lengths, bins, capacity)
         order = np.argsort(bins, kind="stable")
@@ -209,7 +274,8 @@ def _solve(items: DataFrame, capacity: int, shards: int) -> DataFrame:
         at[order] = before - before[np.searchsorted(b, b)] if len(b) else before
         return pd.DataFrame({"item": first["item"].to_numpy(), "length": lengths, "shard": key[0], "island": key[1], "bin": bins, "at": at, "fill": np.bincount(bins, lengths)[bins].astype(np.int64), "score": squares / 2 - (-count)})
 
-    state = dealt.select("item", "length", "shard", island, F.lit(-1).alias("source"), F.lit(-1).cast("long").alias("bin"))
+    source = F.when(F.col("bin").isNull(), F.lit(-1)).otherwise(F.lit(ISLANDS))
+    state = items.select("item", "length", "shard", island, source.alias("source"), F.coalesce("bin", F.lit(-1).cast("long")).alias("bin"))
     schema = "item long, length long, shard long, island int, bin long, at long, fill long, score double"
     for e in range(EPOCHS):
         solved = materialize(state.groupBy("shard", "island").applyInPandas(epoch, schema), "islands")
@@ -226,17 +292,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     capacity are sequences of their own. An empty table gives an empty table."""
     numbered = materialize(pieces.withColumn("__item", F.monotonically_increasing_id()), "pieces")
     small = numbered.where(F.col("length") < capacity).select(F.col("__item").alias("item"), "length")
-    shards = max(1, -(-small.count() // SHARD_ITEMS))
-    solved = _solve(small, capacity, shards)
     number = lambda level: (F.lit(level) * F.lit(1 << 56) + F.col("shard") * F.lit(1 << 24) + F.col("bin")).alias("sequence_id")
-    if shards > 1:
-        solved = materialize(solved, "packed")
-        good = solved.where(F.col("fill") >= LEFT_OVER * capacity).select("item", number(1), "at")
-        left = solved.where(F.col("fill") < LEFT_OVER * capacity).select("item", "length")
-        again = _solve(left, capacity, max(1, -(-left.count() // SHARD_ITEMS))).select("item", number(2), "at")
-        placed = good.unionByName(again)
-    else:
-        placed = solved.select("item", number(1), "at")
+    dealt = lambda key, n: F.pmod(F.xxhash64(*key), F.lit(max(1, -(-n // SHARD_ITEMS)))).alias("shard")
+    solved = materialize(_solve(small.select("item", "length", dealt(["item"], small.count()), F.lit(None).cast("long").alias("bin")), capacity), "packed")
+    good = solved.where(F.col("fill") >= LEFT_OVER * capacity).select("item", number(1), "at")
+    # Whole bins are dealt again, each piece with the bin it has, which is what the second packing has to better.
+    left = solved.where(F.col("fill") < LEFT_OVER * capacity).withColumn("whole", F.col("shard") * F.lit(1 << 24) + F.col("bin"))
+    again = _solve(left.select("item", "length", dealt(["whole"], left.count()), F.col("whole").alias("bin")), capacity).select("item", number(2), "at")
+    placed = good.unionByName(again)
     placed = placed.select(F.col("item").alias("__placed"), "sequence_id", F.col("at").alias("offset"))
     joined = numbered.join(placed, numbered["__item"] == placed["__placed"], "left")
     return joined.select(*pieces.columns, F.coalesce("sequence_id", F.col("__item")).alias("sequence_id"), F.coalesce("offset", F.lit(0)).cast("long").alias("offset"))
