@@ -30,7 +30,7 @@ WELL_FILLED, LEFT_OVER = 0.998, 0.97
 #: beyond so many displaced pieces none are.
 INJECTED, OPENED, SWAP_BINS, SWAP_ITEMS = 3, 3, 256, 80
 #: Distinct words that a worker remembers before it starts anew.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 1_000_000
 
 
 #: 1: ASCII letters, 2: ASCII digits and symbols but for the apostrophe
@@ -63,6 +63,10 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: ids with which a match of the pre-tokenizer ends
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -71,21 +75,26 @@ class WordIds(dict):
         return cls._made[path]
 
     def encode(self, words: list[list[bytes]]) -> list[bytes]:
-        """The ids of each list of words. Words not known yet are encoded many at a time, joined by spaces; the place
-        in the joined text where a token starts tells its word."""
-        new = list(set().union(*words).difference(self)) if words else []
+        """The ids of each list of words. Words not known yet are encoded many at a time, joined by spaces. Words of letters
+        are one match each, which its last id tells; of others, the place where a token starts tells its word."""
+        found = [list(map(self.get, w)) for w in words]
+        new = list({x for w, f in zip(words, found) if None in f for x, ids in zip(w, f) if ids is None})
         if len(self) + len(new) > MEMO_ENTRIES:
             self.clear()
-            new = list(set().union(*words))
+        texts = [w.decode() for w in new]
+        order = sorted(range(len(new)), key=lambda i: texts[i].isalpha())
         for i in range(0, len(new), 1000):
-            part = [w.decode() for w in new[i : i + 1000]]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4").tobytes()
-            starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
-            cuts = np.searchsorted(starts, np.cumsum([len(w) + 1 for w in part])).tolist()
-            for w, a, b in zip(new[i : i + 1000], [0, *cuts], cuts):
-                self[w] = ids[4 * a : 4 * b]
-        out = [b"".join(map(self.__getitem__, w)) for w in words]
+            part = order[i : i + 1000]
+            coded = self.tokenizer.encode(" ".join([texts[k] for k in part]), add_special_tokens=False)
+            ids = np.array(coded.ids, "<u4")
+            cuts = np.flatnonzero(self.last[ids]) + 1
+            if len(cuts) != len(part) or not texts[part[0]].isalpha():
+                starts = np.fromiter((a for a, _ in coded.offsets), np.int64, len(ids))
+                cuts = np.searchsorted(starts, np.cumsum([len(texts[k]) + 1 for k in part]))
+            data, cuts = ids.tobytes(), cuts.tolist()
+            for k, a, b in zip(part, [0, *cuts], cuts):
+                self[new[k]] = data[4 * a : 4 * b]
+        out = [b"".join(f) if None not in f else b"".join(ids if ids is not None else self[x] for x, ids in zip(w, f)) for w, f in zip(words, found)]
         for w in new:
             if len(w) > 64:  # a long word is hardly met again
                 del self[w]
