@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, materialize, power_of_two, text_or_empty
+from tessera.llm.common import SPACE, keep_once, materialize, power_of_two, release, text_or_empty
 
 #: Fingerprints that a shard is planned to hold, and that a task gathers before it emits a set of filters.
 SHARD_ROWS = 1 << 18
@@ -150,19 +150,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return joined.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("doc_id") == keep_id).alias("kept"), "text_sha256")
 
 
-def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose id is in dropped(doc_id), a written table; docs' columns only."""
-    gone = dropped.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
-
-
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without later copies; of rows that repeat a doc_id and a text, one stays."""
-    found = materialize(exact_dedup(docs), "exact")
-    kept = drop_ids(docs, found.where("not kept"))
-    repeats = materialize(found.where("kept and group_size > 1").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeats")
-    if repeats.isEmpty():
-        return kept
-    again = repeats.select(F.col("doc_id").alias("__again"))
-    once = kept.join(again, kept["doc_id"] == again["__again"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, kept["doc_id"] == again["__again"], "left_anti").unionByName(once)
+    """docs with one row of each group of equal texts: one with the smallest doc_id, null only if the group has no other.
+    Rows are dropped by id and text, so a doc_id that repeats over different texts loses none of them; of rows that
+    repeat an id and a text (but for white space) any one stays."""
+    found = materialize(exact_dedup(docs).where("group_size > 1").select("doc_id", "keep_id", F.col("text_sha256").alias("key")), "exact")
+    dropped = materialize(found.where("not (doc_id <=> keep_id)").select("doc_id", "key"), "dropped")
+    repeated = materialize(found.where("doc_id <=> keep_id").groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"), "repeats")
+    release(found)
+    return keep_once(docs, F.sha2(normalized(), 256), dropped, repeated)
