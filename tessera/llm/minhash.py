@@ -25,17 +25,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialize, release, text_or_empty
+from tessera.llm.common import KeyFilter, keep_once, materialize, release, split_join, text_or_empty
 from tessera.llm.components import connected_components
-from tessera.llm.exact_dedup import drop_ids
 
 SHINGLE_WORDS = 5
 BINS, BAND_ROWS = 128, 4
 SEED = 20_240_501
 #: Shingles that a block of members outside the largest component, and a chunk of all members, are planned to hold.
 BLOCK_SHINGLES, CHUNK_SHINGLES = 1 << 18, 1 << 21
-#: Distinct words that a worker remembers before it starts anew.
-MEMO_ENTRIES = 1_000_000
+#: Distinct words that a worker remembers before it starts anew: the frequent ones come back at once, and a small table is
+#: faster than one of all words.
+MEMO_ENTRIES = 1 << 16
 
 _rng = np.random.default_rng(SEED)
 _PLACE = _rng.integers(1, 1 << 63, SHINGLE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,33 +105,32 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, n_shingles, digest, bands); digest identifies the whole set."""
+    """docs(doc_id, th, text) -> (doc_id, th, n_shingles, digest, bands); digest identifies the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, digests, bands = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingle_set(text.as_py())
                 counts.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 bands.append(band_keys(signature(s)) if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"]
-            )
+            arrays = [pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "th", "n_shingles", "digest", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, n_shingles long, digest binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, shingles): the whole sorted set as bytes."""
+    """docs(node, text) -> (node, shingles): the whole sorted set as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], ["node", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles binary")
+    return docs.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
 @F.pandas_udf(T.LongType())
@@ -149,20 +148,23 @@ def common(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b) whose full sets have percent % of their union in common."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(right, "b").join(left, "a").withColumn("union", common("sa", "sb"))
-    n = F.length("sa") / 8 + F.length("sb") / 8 - F.col("union")
-    return both.where(F.col("union") * 100 >= n * percent).select("a", "b")
+    """Written pairs(centre, node) -> (a, b), those whose full sets have percent % of their union in common. A node is in
+    few pairs (one a band), a centre in any number: its pairs are dealt to parts, and only its own set is repeated."""
+    centres = pairs.groupBy("centre").agg(F.count("*").alias("fan"))
+    centres = centres.join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("sa")), "centre")
+    both = split_join(pairs.join(sets.withColumnRenamed("shingles", "sb"), "node"), centres, ["centre"], "fan", pairs.count(), F.col("node"))
+    both = both.withColumn("shared", common("sa", "sb"))
+    union = F.length("sa") / 8 + F.length("sb") / 8 - F.col("shared")
+    return both.where(F.col("shared") * 100 >= union * percent).select(F.col("centre").alias("a"), F.col("node").alias("b"))
 
 
 def settle(percent: int):
     """For applyInPandas over (bucket, block, chunk): links (a, b) between components, no more than join them."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(comp=pd.factorize(pdf["comp"])[0])
         inner = pdf[pdf["inner"]]
-        reps, comps = inner["rep"].tolist(), inner["comp"].to_numpy()
+        nodes, comps = inner["node"].tolist(), inner["comp"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in inner["shingles"]]
         sizes = np.array([len(x) for x in sets], np.int64)
         every = np.concatenate([*sets, np.zeros(0, np.uint64)])
@@ -178,7 +180,7 @@ def settle(percent: int):
 
         out: list[tuple[int, int]] = []
         outer = pdf[~pdf["inner"]]
-        for rep, comp, raw in zip(outer["rep"].tolist(), outer["comp"].tolist(), outer["shingles"]):
+        for node, comp, raw in zip(outer["node"].tolist(), outer["comp"].tolist(), outer["shingles"]):
             x = np.frombuffer(raw, np.uint64)
             low, high = np.searchsorted(every, x), np.searchsorted(every, x, side="right")
             n = high - low
@@ -191,63 +193,96 @@ def settle(percent: int):
                 a, b = find(comp), find(int(comps[k]))
                 if a != b:
                     root[max(a, b)] = min(a, b)
-                    out.append((min(rep, reps[k]), max(rep, reps[k])))
+                    out.append((min(node, nodes[k]), max(node, nodes[k])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def settled(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """The links that stars have missed: members(bucket, rep, n), labels(node, component) -> (a, b)."""
-    placed = members.join(labels, members["rep"] == labels["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    parts = placed.groupBy("bucket", "comp").agg(F.sum("n").alias("size"))
-    whole = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.max(F.struct("size", "comp")).alias("most")).where("parts > 1")
+def settled(members: DataFrame, n_members: int, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """The links that stars have missed: members(bucket, node, n), labels(node, component) -> (a, b)."""
+    placed = members.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("comp"))
+    parts = placed.groupBy("bucket", "comp").agg(F.sum("n").alias("size"), F.count("*").alias("k"))
+    whole = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.sum("k").alias("k"), F.max(F.struct("size", "comp")).alias("most")).where("parts > 1")
     blocks = F.ceil((F.col("size") - F.col("most.size")) / BLOCK_SHINGLES)
-    whole = whole.select("bucket", F.col("most.comp").alias("largest"), blocks.alias("blocks"), F.ceil(F.col("size") / CHUNK_SHINGLES).alias("chunks"))
-    unsettled = placed.join(whole, "bucket")
-    block, chunk = F.pmod(F.xxhash64("rep"), F.col("blocks")), F.pmod(F.xxhash64("rep", "bucket"), F.col("chunks"))
+    whole = whole.select("bucket", "k", F.col("most.comp").alias("largest"), blocks.alias("blocks"), F.ceil(F.col("size") / CHUNK_SHINGLES).alias("chunks"))
+    unsettled = split_join(placed, whole, ["bucket"], "k", n_members, F.col("node"))
+    block, chunk = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64("node", "bucket"), F.col("chunks"))
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    inner = unsettled.where("comp != largest").select("bucket", block.alias("block"), numbers("chunks").alias("chunk"), F.lit(True).alias("inner"), "rep", "comp")
-    outer = unsettled.select("bucket", numbers("blocks").alias("block"), chunk.alias("chunk"), F.lit(False).alias("inner"), "rep", "comp")
-    rows = inner.unionByName(outer).join(sets, F.col("rep") == sets["doc_id"]).drop("doc_id")
+    inner = unsettled.where("comp != largest").select("bucket", block.alias("block"), numbers("chunks").alias("chunk"), F.lit(True).alias("inner"), "node", "comp")
+    outer = unsettled.select("bucket", numbers("blocks").alias("block"), chunk.alias("chunk"), F.lit(False).alias("inner"), "node", "comp")
+    rows = inner.unionByName(outer).join(sets, "node")
     return rows.groupBy("bucket", "block", "chunk").applyInPandas(settle(percent), "a long, b long").distinct()
 
 
-def near_dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
-
-    Null text counts as empty; texts without words have no shingles, are linked with nothing and are kept. Texts of
-    fewer than five words have one shingle, the whole sequence. Rows with a null doc_id have a null component_id and
-    kept. Rows that repeat a doc_id with one text are one document; with different texts, each is linked for itself.
-    An empty table gives an empty table; other columns are not read."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """docs(doc_id, th, text) -> (doc_id, th, n_shingles, keep): keep is a struct (none, doc_id, th) of the first row,
+    null ids last, of those that its links reach. Equal sets are one class, known by the digest of the set, so that a
+    doc_id which repeats over different texts stands in several."""
     signed = materialize(signatures(docs), "signed")
-    known = signed.where("n_shingles > 0 and doc_id is not null")
-    # Equal sets are one class, represented by its smallest doc_id.
-    classes = known.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
-    rows = materialize(classes.select("rep", F.col("n_shingles").alias("n"), "digest", F.explode("bands").alias("bucket")), "bands")
-    by_hash = F.struct(F.xxhash64("bucket", "digest").alias("h"), F.col("rep").alias("centre"), F.col("n").alias("m"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("k"), F.min(by_hash).alias("c")).where("k > 1").select("bucket", "c.centre", "c.m")
-    members = materialize(rows.drop("digest").join(shared, "bucket"), "members")
-    release(rows)
-    needed = materialize(members.select(F.col("rep").alias("need")).distinct(), "needed")
-    chosen = docs.join(needed, docs["doc_id"] == needed["need"], "left_semi")
-    # With an id repeated over texts, the class's own text isn't known by its id: the largest set stands for the id.
-    sets = materialize(full_sets(chosen).groupBy("doc_id").agg(F.max_by("shingles", F.length("shingles")).alias("shingles")), "sets")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    known = signed.where("n_shingles > 0").groupBy("digest")
+    found = known.agg(F.min(own).alias("first"), F.count("*").alias("k"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
+    classes = materialize(found.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers stay as written
+    rows = classes.select("node", "n", F.explode("bands").alias("bucket"))
+    # One centre by hash: the same in all buckets of a group, so that a pair is met once. Buckets with the same members,
+    # known by their number and two sums of hashes, count once.
+    centre = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("centre"), F.col("n").alias("m"))).alias("c")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), centre).where("k > 1")
+    shared = shared.groupBy("k", "x", "y").agg(F.min(F.struct("bucket", "c")).alias("b")).select("b.bucket", "k", "b.c.centre", "b.c.m")
+    members = materialize(split_join(rows, shared, ["bucket"], "k", 32 * classes.count(), F.col("node")).drop("k"), "members")
+    needed = classes.join(members.select("node").distinct(), "node", "left_semi")
+    needed = materialize(needed.select("node", F.col("first.doc_id").alias("__d"), F.col("first.th").alias("__t")), "needed")
+    n_needed = needed.count()
+    may = KeyFilter(needed.select(F.col("__t").alias("h")), n_needed).may_hold(F.col("th"))
+    chosen = docs.where(may)
+    chosen = chosen.join(needed.hint("merge"), chosen["doc_id"].eqNullSafe(needed["__d"]) & (chosen["th"] == needed["__t"]))
+    sets = materialize(full_sets(chosen), "sets")
+    if sets.count() > n_needed:  # rows that repeat an id and a text
+        sets = materialize(sets.dropDuplicates(["node"]), "sets")
+    release(needed)
     alike = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent  # sizes bound the similarity
-    pairs = members.where((F.col("rep") != F.col("centre")) & alike).select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
-    links = materialize(confirmed(materialize(pairs, "pairs"), sets, percent), "links")
+    pairs = materialize(members.where((F.col("node") != F.col("centre")) & alike).select("centre", "node").distinct(), "pairs")
+    links = materialize(confirmed(pairs, sets, percent), "links")
+    release(pairs)
     labels = materialize(connected_components(links), "labels")
-    more = materialize(settled(members.select("bucket", "rep", "n"), sets, labels, percent), "more")
+    more = materialize(settled(members.select("bucket", "node", "n"), members.count(), sets, labels, percent), "more")
+    for done in (members, sets, labels):
+        release(done)
     labels = materialize(connected_components(links.unionByName(more)), "labels")
-    reps = known.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = reps.join(labels, reps["rep"] == labels["node"], "left").select("digest", "n_shingles", F.coalesce("component", "rep").alias("rep"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(reps, ["digest", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
+    linked = materialize(classes.select("node", "first").join(labels, "node"), "linked")
+    best = linked.groupBy("component").agg(F.min("first").alias("keep"), F.count("*").alias("n"))
+    of_linked = split_join(linked, best, ["component"], "n", linked.count(), F.col("node")).select("node", "keep")
+    kept = classes.select("digest", "node", "k", "first").join(of_linked, "node", "left").select("digest", "k", F.coalesce("keep", "first").alias("keep"))
+    grouped = split_join(signed.drop("bands"), kept, ["digest"], "k", signed.count(), F.struct("doc_id", "th"))
+    alone = signed.where("n_shingles = 0").select("doc_id", "th", "n_shingles", own.alias("keep"))
+    return grouped.select("doc_id", "th", "n_shingles", "keep").unionByName(alone)
+
+
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = text_or_empty(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def near_dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+
+    Null text counts as empty; texts without words have no shingles, are linked with nothing and are kept. Texts of
+    fewer than five words have one shingle, the whole sequence. Rows that repeat a doc_id are linked each by its own
+    text. Rows with a null doc_id have a null component_id and kept, but link what they are like. An empty table gives
+    an empty table; other columns are not read."""
+    out = near_groups(_hashed(docs, id_col, text_col), percent)
+    component = F.when(F.col("doc_id").isNotNull(), F.col("keep.doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one document of each group of near duplicates, the one with the smallest doc_id."""
-    found = near_dedup(docs).where("not kept").select("doc_id")
-    return drop_ids(docs, materialize(found, "near"))
+    """docs with one row of each group of near duplicates: the one with the smallest doc_id (null only if no row has
+    one; of several texts the least by hash). Rows are dropped by id and text, so a doc_id that repeats over texts that
+    aren't alike loses none of them. Texts without words all stay."""
+    found = near_groups(_hashed(docs, "doc_id", "text")).where("n_shingles > 0")
+    found = materialize(found.select("doc_id", F.col("th").alias("key"), (F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("th") == F.col("keep.th"))).alias("stays")), "near")
+    dropped = materialize(found.where("not stays").select("doc_id", "key"), "dropped")
+    repeated = materialize(found.where("stays").groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"), "repeats")
+    release(found)
+    return keep_once(docs, F.xxhash64(text_or_empty("text")), dropped, repeated)
