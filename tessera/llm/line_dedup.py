@@ -1,8 +1,9 @@
 """Line dedup by winnowing over line hashes.
 
-A window is a shortest run of lines with at least MIN_WORDS words. Its least line hash is a fingerprint, so any repeated
-run of MIN_WORDS words shares one. Windows whose fingerprint occurs at several positions join the first window with the
-same lines (a star, not all pairs); matches are extended both ways while lines agree, and the later run is deleted.
+A window is a shortest run of lines with at least MIN_WORDS words. The position of its least line hash is selected as a
+fingerprint, so any repeated run of MIN_WORDS words holds the same one at the same place. A fingerprint is known by its
+line hash and by the lines of the window that selected it; its positions join the first one (a star, not all pairs),
+matches are extended both ways while lines agree, and the later run is deleted.
 
 A run may also reach MIN_WORDS only with words of the partly shared lines at its edges. Such a run holds a line break with
 half of MIN_WORDS on one side: breaks whose half context repeats (by a bit filter) emit every window of exactly MIN_WORDS
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialize, power_of_two, release, text_or_empty
+from tessera.llm.common import materialize, power_of_two, release, split_join, text_or_empty
 from tessera.llm.minhash import WordHashes, mix
 
 MIN_WORDS = 50
@@ -180,8 +181,8 @@ def edged_runs(docs: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
     each = each.where(F.col("runs").isNull() | ~inside).select("d", "th", "w.g", "w.p", "w.a", "w.b")
     windows = materialize(each, "windows")
     release(found)
-    first = windows.groupBy("g").agg(F.min(F.struct("d", "th", "p")).alias("f"), F.count("*").alias("n")).where("n > 1").select("g", "f")
-    later = windows.where("a <= b").join(first, "g").where("not (d = f.d and th = f.th and p = f.p)")
+    first = windows.groupBy("g").agg(F.min(F.struct("d", "th", "p")).alias("f"), F.count("*").alias("n")).where("n > 1").select("g", "f", "n")
+    later = split_join(windows.where("a <= b"), first, ["g"], "n", windows.count(), F.struct("d", "th", "p")).where("not (d = f.d and th = f.th and p = f.p)")
     return later.select("d", "th", "a", "b").distinct()
 
 
@@ -217,23 +218,40 @@ def lined(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select("d", "th", "text").mapInArrow(run, "d long, th long, place array<int>, hash array<long>, words array<int>, least array<int>, whole array<long>")
 
 
-def extended(later: np.ndarray, earlier: np.ndarray, words: np.ndarray, place: np.ndarray, matches: list[tuple[int, int]], min_words: int) -> list[list[int]]:
-    """Line ranges (first, last) of the later text that repeat the earlier one's, for matching indexes (i, j)."""
-    out: list[list[int]] = []
-    reach: dict[int, int] = {}  # offset -> where its last run ended
-    for i, j in sorted(matches):
-        if reach.get(i - j, -1) > i:
-            continue
-        low = 0
-        while i - low > 0 and j - low > 0 and later[i - low - 1] == earlier[j - low - 1]:
-            low += 1
-        high = 1
-        while i + high < len(later) and j + high < len(earlier) and later[i + high] == earlier[j + high]:
-            high += 1
-        reach[i - j] = i + high
-        if words[i - low : i + high].sum() >= min_words:
-            out.append([int(place[i - low]), int(place[i + high - 1])])
-    return out
+class LinePrefixes:
+    """Hashes of all spans of a document's lines, by sums of the lines' hashes times powers of one root."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.n = n = len(hashes)
+        self.power = np.cumprod(np.r_[np.uint64(1), np.full(n, _UNROOT, np.uint64)])
+        values = mix(np.asarray(hashes, np.int64).view(np.uint64))
+        self.sums = np.r_[np.zeros(1, np.uint64), np.cumsum(values * np.cumprod(np.full(n, _ROOT, np.uint64)), dtype=np.uint64)]
+
+    def of(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (self.sums[at + size] - self.sums[at]) * self.power[at]
+
+
+def reach(later: LinePrefixes, earlier: LinePrefixes, i: np.ndarray, j: np.ndarray, ahead: bool) -> np.ndarray:
+    """How many lines from the positions i and j on (or before them) agree, by bisection for all matches at once."""
+    low = np.zeros(len(i), np.int64)
+    high = np.minimum(later.n - i, earlier.n - j) if ahead else np.minimum(i, j)
+    while (open_ := low < high).any():
+        half = np.where(open_, (low + high + 1) // 2, low)
+        back = 0 if ahead else half
+        same = later.of(i - back, half) == earlier.of(j - back, half)
+        low, high = np.where(same, half, low), np.where(same, high, half - 1)
+    return low
+
+
+def extended(later: np.ndarray, earlier: np.ndarray, words: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray, min_words: int) -> list[list[int]]:
+    """Line ranges (first, last) of the later text that repeat the earlier one's, for matching positions i and j. Time
+    is in proportion to lines and matches, but for a logarithm, also where all lines are equal."""
+    a, b = LinePrefixes(later), LinePrefixes(earlier)
+    first, end = i - reach(a, b, i, j, False), i + reach(a, b, i, j, True)
+    total = np.r_[0, np.cumsum(words)]
+    long = total[end] - total[first] >= min_words
+    place = np.asarray(place)
+    return merged(np.unique(np.stack([place[first[long]], place[end[long] - 1]], axis=1), axis=0).tolist()) if long.any() else []
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -242,20 +260,27 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # Repeated rows are dropped by their line hashes, so that no text is shuffled for it.
     table = materialize(lined(docs, min_words).dropDuplicates(["d", "th"]), "lined")
     marks = table.select("d", "th", F.explode(F.array_distinct("least")).alias("m"), "hash").select(F.element_at("hash", F.col("m") + 1).alias("h"))
-    repeated = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    windows = table.select("d", "th", "hash", F.posexplode(F.arrays_zip("least", "whole")).alias("i", "w"))
-    windows = windows.select("d", "th", "i", F.col("w.whole").alias("g"), F.element_at("hash", F.col("w.least") + 1).alias("h"))
-    windows = materialize(windows.join(repeated, "h", "left_semi").drop("h"), "windows")
-    first = windows.groupBy("g").agg(F.min(F.struct("d", "th", "i")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("g", F.col("f.d").alias("fd"), F.col("f.th").alias("fth"), F.col("f.i").alias("j"))
-    pairs = windows.join(first, "g").where("not (d = fd and th = fth and i = j)")
-    pairs = pairs.groupBy("d", "th", "fd", "fth").agg(F.collect_list(F.struct("i", "j")).alias("matches"))
+    repeated = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    selected = table.select("d", "th", "hash", F.explode(F.arrays_zip("least", "whole")).alias("w"))
+    selected = selected.select("d", "th", F.col("w.least").alias("i"), F.col("w.whole").alias("g"), F.element_at("hash", F.col("w.least") + 1).alias("h"))
+    selected = materialize(selected.join(repeated.select("h"), "h", "left_semi"), "selected")
+    first = selected.groupBy("h", "g").agg(F.min(F.struct("d", "th", "i")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("h", "g", "n", F.col("f.d").alias("fd"), F.col("f.th").alias("fth"), F.col("f.i").alias("j"))
+    pairs = split_join(selected, first, ["h", "g"], "n", selected.count(), F.struct("d", "th", "i")).where("not (d = fd and th = fth and i = j)")
+    pairs = materialize(pairs.groupBy("d", "th", "fd", "fth").agg(F.collect_set(F.struct("i", "j")).alias("matches")), "pairs")
+    release(selected)
     own = table.select("d", "th", "place", F.col("hash").alias("later"), "words")
-    other = table.select(F.col("d").alias("fd"), F.col("th").alias("fth"), F.col("hash").alias("earlier"))
-    both = pairs.join(own, ["d", "th"]).join(other, ["fd", "fth"])
+    # A passage that very many documents share joins all of them to its first one: that one's lines are repeated instead.
+    fans = pairs.groupBy("fd", "fth").agg(F.count("*").alias("fan"))
+    other = table.select(F.col("d").alias("fd"), F.col("th").alias("fth"), F.col("hash").alias("earlier")).join(fans, ["fd", "fth"])
+    both = split_join(pairs.join(own, ["d", "th"]), other, ["fd", "fth"], "fan", pairs.count(), F.struct("d", "th"))
 
     def runs(later: pd.Series, earlier: pd.Series, words: pd.Series, place: pd.Series, matches: pd.Series) -> pd.Series:
-        return pd.Series([extended(a, b, w, p, [(int(m["i"]), int(m["j"])) for m in ms], min_words) for a, b, w, p, ms in zip(later, earlier, words, place, matches)])
+        out = []
+        for a, b, w, p, ms in zip(later, earlier, words, place, matches):
+            at = np.array([(m["i"], m["j"]) for m in ms], np.int64)
+            out.append(extended(a, b, w, p, at[:, 0], at[:, 1], min_words))
+        return pd.Series(out)
 
     found = F.pandas_udf(runs, T.ArrayType(T.ArrayType(T.IntegerType())))("later", "earlier", "words", "place", "matches")
     return both.select("d", "th", found.alias("runs")).where(F.size("runs") > 0).groupBy("d", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"))
