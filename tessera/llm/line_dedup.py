@@ -5,147 +5,158 @@ fingerprint, so any repeated run of MIN_WORDS words holds the same one at the sa
 line hash and by the lines of the window that selected it; its positions join the first one (a star, not all pairs),
 matches are extended both ways while lines agree, and the later run is deleted.
 
-A run may also reach MIN_WORDS only with words of the partly shared lines at its edges. Such a run holds a line break with
-half of MIN_WORDS on one side: breaks whose half context repeats (by a bit filter) emit every window of exactly MIN_WORDS
-words over them, equal windows join the first one, and the whole lines inside the later ones are deleted.
+A run may also reach MIN_WORDS only with words of the partly shared lines at its edges. Of every line break inside such a
+run the half window of words on its longer side repeats, which a bit filter of all repeated ones tells: windows of exactly
+MIN_WORDS words that pass join the first one that is equal, and the whole lines inside the later ones are deleted.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialize, power_of_two, release, split_join, text_or_empty
-from tessera.llm.minhash import WordHashes, mix
+from tessera.llm.common import KeyFilter, materialize, release, split_join, text_or_empty
+from tessera.llm.minhash import mix
 
 MIN_WORDS = 50
-#: Most bits of the filter of repeated contexts; what it lets through beyond them costs windows, never a wrong result.
-FILTER_BITS = 1 << 29
-BLOCK_BITS = 1 << 16
-
-_ROOT = 0x9E3779B97F4A7C15
-_UNROOT = pow(_ROOT, -1, 1 << 64)
-_BREAK, _AFTER = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-_words = WordHashes()
-
-
-def line_hashes(text: str) -> tuple[list[int], list[int], list[int]]:
-    """(place, hash, words) of the lines that aren't blank; a line is hashed with its white space collapsed."""
-    place, data, words = [], [], []
-    for i, line in enumerate(text.split("\n")):
-        if w := line.split():
-            place.append(i)
-            data.append(xxhash.xxh3_64_intdigest(" ".join(w).encode()))
-            words.append(len(w))
-    return place, mix(np.array(data, np.uint64)).view(np.int64).tolist(), words
-
-
-def winnow(hashes: list[int], words: list[int], min_words: int = MIN_WORDS) -> tuple[list[int], list[int]]:
-    """For every window, which start at lines 0, 1, 2 and so on: the index of its least hash (the last of equal ones),
-    and a hash of all its lines."""
-    least: list[int] = []
-    whole: list[int] = []
-    data = np.array(hashes, np.int64)
-    end = total = 0
-    for start in range(len(hashes)):
-        while end < len(hashes) and total < min_words:
-            total += words[end]
-            end += 1
-        if total < min_words:
-            break
-        part = hashes[start:end]
-        least.append(end - 1 - part[::-1].index(min(part)))
-        whole.append(xxhash.xxh3_64_intdigest(data[start:end].tobytes()) - (1 << 63))
-        total -= words[start]
-    return least, whole
+
+_ROOT, _UNROOT = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_BYTE = np.random.default_rng(20_240_610).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ZERO = np.zeros(1, np.int64)
+_AFTER = np.uint64(0xA0761D6478BD642F)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first powers, n and more, of the root and of its inverse; kept and extended as texts get longer."""
+    if len(_powers[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)]) for x in (_ROOT, _UNROOT)]
+    return _powers
 
 
 class Spans:
-    """Hashes of spans of a text's words; they cover the line breaks inside a span, not those at its edges."""
+    """Hashes of spans of a text's words, from sums over its bytes: white space counts as one space, or as one line break,
+    between words and not at the edges of a span. Blank lines don't count."""
 
     def __init__(self, text: str):
-        flat: list[str] = []
-        place, first = [], []
-        for i, line in enumerate(text.split("\n")):
-            if w := line.split():
-                place.append(i)
-                first.append(len(flat))
-                flat += w
-        self.n = n = len(flat)
-        self.place, self.first = np.array(place, np.int64), np.array(first, np.int64)
-        self.breaks = self.first[1:]
-        self.mark = np.zeros(n + 1, np.uint64)
-        self.mark[self.breaks] = _BREAK
-        power = np.cumprod(np.full(n + 1, _ROOT, np.uint64))
-        self.back = np.cumprod(np.full(n + 1, _UNROOT, np.uint64))
-        values = mix(np.fromiter(map(_words.__getitem__, flat), np.uint64, n)) + self.mark[:n]
-        self.sums = np.r_[np.zeros(1, np.uint64), np.cumsum(values * power[:n], dtype=np.uint64)]
-
-    def hashes(self, at: np.ndarray, size: int) -> np.ndarray:
-        return mix((self.sums[at + size] - self.sums[at]) * self.back[at] - self.mark[at])
-
-    def contexts(self, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-        """(break, hash): the half windows that end, and that start, at a break."""
+        lines = [(i, " ".join(w)) for i, w in enumerate(map(str.split, text.split("\n"))) if w]
+        b = np.frombuffer("\n".join(line for _, line in lines).encode(), np.uint8)
+        self.place = np.array([i for i, _ in lines], np.int64)
+        gap = np.flatnonzero((b == 32) | (b == 10))
+        some = int(len(b) > 0)
+        #: first byte of each word and the byte behind it; words behind which a line starts
+        self.start, self.end = np.concatenate([_ZERO[:some], gap + 1]), np.concatenate([gap, np.full(some, len(b))])
+        self.n = len(self.start)
+        self.breaks = np.flatnonzero(b[gap] == 10) + 1
+        self.first = np.concatenate([_ZERO[:some], self.breaks])
+        up, self.down = powers(len(b) + 1)
+        self.sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_BYTE[b] * up[: len(b)], out=self.sums[1:])
+
+    def hashes(self, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        low = self.start[at]
+        return mix((self.sums[self.end[at + size - 1]] - self.sums[low]) * self.down[low])
+
+    def contexts(self, min_words: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The breaks with half a window of words before them and then those with one behind them, the hashes of those half
+        windows, and the number of the former."""
         half = min_words // 2
         before, after = self.breaks[self.breaks >= half], self.breaks[self.breaks + half <= self.n]
-        return np.r_[before, after], np.r_[self.hashes(before - half, half), mix(self.hashes(after, half) ^ _AFTER)]
-
-    def over(self, breaks: np.ndarray, size: int) -> np.ndarray:
-        """The places of the windows of `size` words that have one of the breaks inside."""
-        low, high = np.maximum(breaks - size + 1, 0), np.minimum(breaks - 1, self.n - size)
-        some = low <= high
-        step = np.zeros(self.n + 2, np.int64)
-        np.add.at(step, low[some], 1)
-        np.add.at(step, high[some] + 1, -1)
-        return np.flatnonzero(np.cumsum(step) > 0)
+        return np.concatenate([before, after]), np.concatenate([self.hashes(before - half, half), mix(self.hashes(after, half) ^ _AFTER)]), len(before)
+
+    def over(self, min_words: int, held: np.ndarray) -> np.ndarray:
+        """The windows of min_words words over a line break that may repeat: of every break inside, the half window on
+        its longer side has its bit on."""
+        half, last = min_words // 2, self.n - min_words
+        if last < 0 or not len(self.breaks):
+            return np.zeros(0, np.int64)
+        at, h, k = self.contexts(min_words)
+        on = KeyFilter.on(held, h)
+        # contexts() leaves out breaks too near to the text's ends: the first ones before, the last ones behind
+        before, after = np.zeros(len(self.breaks), bool), np.zeros(len(self.breaks), bool)
+        before[len(self.breaks) - k :], after[: len(at) - k] = on[:k], on[k:]
+        if not on.any():
+            return np.zeros(0, np.int64)
+        inside, bad = np.zeros(self.n + 2, np.int64), np.zeros(self.n + 2, np.int64)
+
+        def mark(into: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+            low, high = np.maximum(low, 0), np.minimum(high, last)
+            some = low <= high
+            np.add.at(into, low[some], 1)
+            np.add.at(into, high[some] + 1, -1)
+
+        mark(inside, self.breaks - min_words + 1, self.breaks - 1)
+        mark(bad, self.breaks[~before] - min_words + 1, self.breaks[~before] - half)
+        mark(bad, self.breaks[~after] - (min_words - half), self.breaks[~after] - 1)
+        return np.flatnonzero((np.cumsum(inside) > 0) & (np.cumsum(bad) == 0))
+
+    def line_ends(self) -> np.ndarray:
+        """The word behind each line."""
+        return np.concatenate([self.first[1:], np.full(min(self.n, 1), self.n)])
 
     def lines(self, at: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
         """Of windows: the first and last whole line's places (last < first without one), the first and last touched."""
-        ends = np.r_[self.first[1:], self.n]
+        ends = self.line_ends()
         a, b = np.searchsorted(self.first, at), np.searchsorted(ends, at + size, side="right") - 1
         u, v = np.searchsorted(self.first, at, side="right") - 1, np.searchsorted(ends, at + size)
         whole = a <= b
         return np.where(whole, self.place[np.where(whole, a, 0)], 0), np.where(whole, self.place[np.where(whole, b, 0)], -1), self.place[u], self.place[v]
 
 
-def contexts(docs: DataFrame, min_words: int) -> DataFrame:
-    """docs(d, th, text) -> (h): the hashes of the contexts of all line breaks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [Spans(t).contexts(min_words)[1] for t in map(pa.StringScalar.as_py, batch.column(0)) if "\n" in t]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))], ["h"])
-
-    return docs.select("text").mapInArrow(run, "h long")
+def winnow(hashes: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """For every window, which start at lines 0, 1, 2 and so on: the index of its least hash (the last of equal ones), and
+    its number of lines. A queue holds the lines that may still become the least."""
+    total = np.concatenate([_ZERO, np.cumsum(words)])
+    ends = np.searchsorted(total, total[:-1] + min_words)
+    n = int((ends <= len(words)).sum())
+    least, queue, end, values = np.zeros(n, np.int64), deque(), 0, hashes.tolist()
+    for start, stop in enumerate(ends[:n].tolist()):
+        while end < stop:
+            while queue and values[queue[-1]] >= values[end]:
+                queue.pop()
+            queue.append(end)
+            end += 1
+        while queue[0] < start:
+            queue.popleft()
+        least[start] = queue[0]
+    return least, ends[:n] - np.arange(n)
 
 
-def bit_filter(keys: DataFrame, n: int) -> np.ndarray:
-    """Bits by hash, of at most FILTER_BITS, packed in bytes; built block by block."""
-    bits = min(power_of_two(16 * n, BLOCK_BITS), FILTER_BITS)
+def lined(docs: DataFrame, min_words: int) -> DataFrame:
+    """docs(d, th, text) -> (d, th, place, hash, words, least, whole, around): arrays over the lines that aren't blank (place,
+    hash with white space collapsed, words), over the windows (least line, hash of all lines), and over the half windows
+    beside line breaks (hash)."""
 
-    def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        on = np.zeros(BLOCK_BITS, bool)
-        on[pdf["slot"].to_numpy() % BLOCK_BITS] = True
-        return pd.DataFrame({"block": [key[0]], "bytes": [np.packbits(on).tobytes()]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in map(pa.StringScalar.as_py, batch.column(2)):
+                spans = Spans(text)
+                ends = spans.line_ends()
+                words = ends - spans.first
+                hashes = spans.hashes(spans.first, words).view(np.int64)
+                least, lines = winnow(hashes, words, min_words)
+                begin = spans.first[: len(least)]
+                whole = spans.hashes(begin, ends[np.arange(len(least)) + lines - 1] - begin)
+                rows.append((spans.place, hashes, words, least, whole.view(np.int64), spans.contexts(min_words)[1].view(np.int64)))
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], pa.list_(t)) for i, t in enumerate(kinds))], ["d", "th", "place", "hash", "words", "least", "whole", "around"])
 
-    slots = keys.select(F.pmod("h", F.lit(bits)).alias("slot")).withColumn("block", F.expr(f"slot div {BLOCK_BITS}"))
-    out = np.zeros(bits // 8, np.uint8)
-    for r in slots.groupBy("block").applyInPandas(block, "block long, bytes binary").toLocalIterator():
-        out[r["block"] * BLOCK_BITS // 8 : (r["block"] + 1) * BLOCK_BITS // 8] = np.frombuffer(r["bytes"], np.uint8)
-    return out
+    return docs.select("d", "th", "text").mapInArrow(run, "d long, th long, place array<int>, hash array<long>, words array<int>, least array<int>, whole array<long>, around array<long>")
 
 
-def break_windows(docs: DataFrame, bits: np.ndarray, min_words: int) -> DataFrame:
-    """docs(d, th, text) -> (d, th, g, p, a, b, u, v), arrays over a text's windows of min_words words that have a break
-    with a context in the filter inside: hash, place, and what lines() says."""
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+def break_windows(docs: DataFrame, held: KeyFilter, min_words: int) -> DataFrame:
+    """docs(d, th, text) -> (d, th, g, p, a, b, u, v), arrays over a text's windows that may repeat by Spans.over(): hash,
+    place, and what lines() says."""
+    sent = held.sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
@@ -155,9 +166,7 @@ def break_windows(docs: DataFrame, bits: np.ndarray, min_words: int) -> DataFram
                 if "\n" not in text:
                     continue
                 spans = Spans(text)
-                at, h = spans.contexts(min_words)
-                slot = (h & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
-                p = spans.over(np.unique(at[(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1]), min_words)
+                p = spans.over(min_words, bits)
                 if len(p):
                     rows.append(i)
                     found.append((spans.hashes(p, min_words).view(np.int64), p, *spans.lines(p, min_words)))
@@ -168,19 +177,40 @@ def break_windows(docs: DataFrame, bits: np.ndarray, min_words: int) -> DataFram
     return docs.select("d", "th", "text").mapInArrow(run, f"d long, th long, g array<long>, {ints}")
 
 
-def edged_runs(docs: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
-    """docs(d, th, text), runs(d, th, runs) of whole lines -> (d, th, a, b): the whole lines inside repeated runs of
-    min_words words that have a line break inside."""
-    keys = materialize(contexts(docs, min_words), "contexts")
-    repeated = materialize(keys.groupBy("h").count().where("count > 1").select("h"), "repeated")
-    release(keys)
-    found = materialize(break_windows(docs, bit_filter(repeated, repeated.count()), min_words), "breaks")
-    # A window inside a deleted run has an earlier copy, so the first of its kind is never among those left out.
-    inside = F.exists("runs", lambda r: (r[0] <= F.col("w.u")) & (F.col("w.v") <= r[1]))
-    each = found.join(runs, ["d", "th"], "left").select("d", "th", "runs", F.explode(F.arrays_zip("g", "p", "a", "b", "u", "v")).alias("w"))
-    each = each.where(F.col("runs").isNull() | ~inside).select("d", "th", "w.g", "w.p", "w.a", "w.b")
-    windows = materialize(each, "windows")
+def edged_runs(docs: DataFrame, table: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
+    """docs(d, th, text), lined() as a written table, runs(d, th, runs) of whole lines -> (d, th, a, b): the whole lines inside
+    repeated runs of min_words words that have a line break inside."""
+    repeated = materialize(table.select(F.explode("around").alias("h")).groupBy("h").count().where("count > 1").select("h"), "repeated")
+    found = materialize(break_windows(docs, KeyFilter(repeated, repeated.count()), min_words).dropDuplicates(["d", "th"]), "breaks")
+
+    def outside(runs: pd.Series, u: pd.Series, v: pd.Series, chosen: Iterable[np.ndarray]) -> pd.Series:
+        """Indexes of the chosen windows that no run holds. A window inside a deleted run has an earlier copy, so the first
+        of its kind is never among those left out."""
+        out = []
+        for some, first, last, keep in zip(runs, u, v, chosen):
+            if some is not None and len(some):
+                low, high = np.array([(r[0], r[1]) for r in some]).T  # disjoint and in order
+                at = np.searchsorted(low, first, side="right") - 1
+                keep = keep & ((at < 0) | (last > high[at]))
+            out.append(np.flatnonzero(keep).astype(np.int32))
+        return pd.Series(out)
+
+    indexes = T.ArrayType(T.IntegerType())
+    joined = materialize(found.join(runs, ["d", "th"], "left"), "joined")
     release(found)
+
+    def each(chosen: Column) -> DataFrame:
+        rows = joined.select("d", "th", "g", "p", "a", "b", F.explode(chosen).alias("i"))
+        return rows.select("d", "th", *[F.get(k, "i").alias(k) for k in "gpab"])
+
+    # Only windows with a whole line delete anything; the others count as first copies of those.
+    whole = F.pandas_udf(lambda runs, u, v, a, b: outside(runs, u, v, (x <= y for x, y in zip(a, b))), indexes)
+    whole = materialize(each(whole("runs", "u", "v", "a", "b")), "windows")
+    held = KeyFilter(whole.select(F.col("g").alias("h")), whole.count())
+    sent = held.sent
+    plain = F.pandas_udf(lambda runs, u, v, a, b, g: outside(runs, u, v, ((x > y) & KeyFilter.on(sent.value, np.array(h, np.int64)) for x, y, h in zip(a, b, g))), indexes)
+    windows = materialize(whole.unionByName(each(plain("runs", "u", "v", "a", "b", "g"))), "windows")
+    release(joined)
     first = windows.groupBy("g").agg(F.min(F.struct("d", "th", "p")).alias("f"), F.count("*").alias("n")).where("n > 1").select("g", "f", "n")
     later = split_join(windows.where("a <= b"), first, ["g"], "n", windows.count(), F.struct("d", "th", "p")).where("not (d = f.d and th = f.th and p = f.p)")
     return later.select("d", "th", "a", "b").distinct()
@@ -199,33 +229,23 @@ def merged(runs: Iterable[Sequence[int]]) -> list[list[int]]:
 
 def all_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs(d, th, text) -> (d, th, runs): the line ranges to delete of each document that has any."""
-    whole = materialize(repeated_runs(docs, min_words), "whole")
-    ranges = whole.select("d", "th", F.explode("runs").alias("r")).unionByName(edged_runs(docs, whole, min_words).select("d", "th", F.array("a", "b").alias("r")))
+    # Repeated rows are dropped by their line hashes, so that no text is shuffled for it.
+    table = materialize(lined(docs, min_words).dropDuplicates(["d", "th"]), "lined")
     merge = F.pandas_udf(lambda s: pd.Series([merged(x) for x in s]), T.ArrayType(T.ArrayType(T.IntegerType())))
+    whole = materialize(repeated_runs(table, min_words).select("d", "th", merge("runs").alias("runs")), "whole")
+    edged = edged_runs(docs, table, whole, min_words).select("d", "th", F.array("a", "b").alias("r"))
+    ranges = whole.select("d", "th", F.explode("runs").alias("r")).unionByName(edged)
     return ranges.groupBy("d", "th").agg(F.collect_list("r").alias("runs")).select("d", "th", merge("runs").alias("runs"))
 
 
-def lined(docs: DataFrame, min_words: int) -> DataFrame:
-    """docs(d, th, text) -> (d, th, place, hash, words, least, whole)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [line_hashes(t.as_py()) for t in batch.column(2)]
-            windows = [winnow(h, w, min_words) for _, h, w in rows]
-            arrays = [pa.array([r[i] for r in rows], pa.list_(t)) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays, *(pa.array([x[i] for x in windows], pa.list_(t)) for i, t in enumerate((pa.int32(), pa.int64())))], ["d", "th", "place", "hash", "words", "least", "whole"])
-
-    return docs.select("d", "th", "text").mapInArrow(run, "d long, th long, place array<int>, hash array<long>, words array<int>, least array<int>, whole array<long>")
-
-
 class LinePrefixes:
     """Hashes of all spans of a document's lines, by sums of the lines' hashes times powers of one root."""
 
     def __init__(self, hashes: np.ndarray):
         self.n = n = len(hashes)
-        self.power = np.cumprod(np.r_[np.uint64(1), np.full(n, _UNROOT, np.uint64)])
+        up, self.power = powers(n + 1)
         values = mix(np.asarray(hashes, np.int64).view(np.uint64))
-        self.sums = np.r_[np.zeros(1, np.uint64), np.cumsum(values * np.cumprod(np.full(n, _ROOT, np.uint64)), dtype=np.uint64)]
+        self.sums = np.r_[np.zeros(1, np.uint64), np.cumsum(values * up[:n], dtype=np.uint64)]
 
     def of(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         return (self.sums[at + size] - self.sums[at]) * self.power[at]
@@ -254,11 +274,9 @@ def extended(later: np.ndarray, earlier: np.ndarray, words: np.ndarray, place: n
     return merged(np.unique(np.stack([place[first[long]], place[end[long] - 1]], axis=1), axis=0).tolist()) if long.any() else []
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs(d, th, text) -> (d, th, runs): the line ranges to delete of each document that has any. Documents are in the
-    order of (d, th); of equal runs the first stays."""
-    # Repeated rows are dropped by their line hashes, so that no text is shuffled for it.
-    table = materialize(lined(docs, min_words).dropDuplicates(["d", "th"]), "lined")
+def repeated_runs(table: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """lined() as a written table -> (d, th, runs): the ranges of repeated whole lines of each document that has any.
+    Documents are in the order of (d, th); of equal runs the first stays."""
     marks = table.select("d", "th", F.explode(F.array_distinct("least")).alias("m"), "hash").select(F.element_at("hash", F.col("m") + 1).alias("h"))
     repeated = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     selected = table.select("d", "th", "hash", F.explode(F.arrays_zip("least", "whole")).alias("w"))
@@ -299,8 +317,11 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     lines = F.split("text", "\n", -1)
     inside = lambda i: F.exists("runs", lambda r: (r[0] <= i) & (i <= r[1]))
     kept = F.filter(lines, lambda x, i: ~inside(i))
-    # The runs grow with the corpus: a merge join at every size, the only place where texts are shuffled.
-    joined = rows.join(runs.hint("merge"), ["d", "th"], "left")
+    # The runs grow with the corpus: a merge join at every size, and only of the texts that may have any.
+    may = KeyFilter(runs.select(F.xxhash64("d", "th").alias("h")), runs.count()).may_hold(F.xxhash64("d", "th"))
+    marked = rows.withColumn("__may", may)
+    clear = marked.where("not __may").withColumn("runs", F.lit(None).cast("array<array<int>>"))
+    joined = marked.where("__may").join(runs.hint("merge"), ["d", "th"], "left").unionByName(clear)
     cut = joined.select("doc_id", "runs", "text", F.size(lines).cast("long").alias("n_lines"), F.when(F.col("runs").isNotNull(), kept).alias("kept"))
     return cut.select(
         "doc_id",
