@@ -135,7 +135,7 @@ def test_blocks_find_links_that_a_star_misses():
     import pandas as pd
 
     rows = [(True, 1, 1, base), (False, 1, 1, base), (True, 2, 2, base[:760]), (False, 2, 2, base[:760]), (False, 3, 3, base[:700])]
-    pdf = pd.DataFrame([(a, b, c, x.tobytes()) for a, b, c, x in rows], columns=["inner", "rep", "comp", "shingles"])
+    pdf = pd.DataFrame([(a, b, c, x.tobytes()) for a, b, c, x in rows], columns=["inner", "node", "comp", "shingles"])
     assert minhash.settle(75)(pdf).values.tolist() == [[1, 2], [2, 3]]
 
 
@@ -214,6 +214,50 @@ def test_packing(spark):
     assert packing.best_fit_packing(frame(spark, []), path).count() == 0
 
 
+def triples(n, rng, capacity=2048):
+    """Lengths that fill n bins exactly, three a bin."""
+    out = []
+    for _ in range(n):
+        a = rng.integers(400, 1000)
+        b = rng.integers(400, min(1000, capacity - a - 200))
+        out += [a, b, capacity - a - b]
+    return np.array(out, np.int64)
+
+
+def plain_best_fit(lengths, capacity=2048):
+    bins = np.full(len(lengths), -1, np.int64)
+    packing.best_fit(lengths, np.argsort(-lengths, kind="stable"), bins, [], capacity)
+    return int(bins.max()) + 1
+
+
+def test_genetic_packing_betters_best_fit(spark, monkeypatch):
+    for seed in range(3):
+        for lengths, gain in ((triples(200, np.random.default_rng(seed)), 4), (np.random.default_rng(seed).integers(500, 1100, 1000), 5)):
+            bins = packing.evolve(lengths, [], 2048, seed)
+            assert np.bincount(bins, lengths).max() <= 2048 and (bins >= 0).all()
+            assert len(np.unique(bins)) <= plain_best_fit(lengths) - gain
+            monkeypatch.setattr(packing, "GENERATIONS", 0)
+            assert len(np.unique(packing.evolve(lengths, [], 2048, seed))) > len(np.unique(bins))
+            monkeypatch.undo()
+    lengths = triples(150, np.random.default_rng(7))
+    pieces = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "piece int, length long")
+    rows = packing.pack(pieces).collect()
+    assert len({r["sequence_id"] for r in rows}) <= plain_best_fit(lengths) - 3
+    by_bin = defaultdict(list)
+    for r in rows:
+        by_bin[r["sequence_id"]].append((r["offset"], r["length"]))
+    for some in by_bin.values():
+        ends = np.cumsum([n for _, n in sorted(some)])
+        assert [o for o, _ in sorted(some)] == [0, *ends[:-1]] and ends[-1] <= 2048
+
+
+def test_packing_of_repeats_and_null_ids(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = packing.best_fit_packing(frame(spark, ["a b", "a b", "a b", None], [1, 1, None, None]), path).collect()
+    assert len(rows) == 4 and len({r["sequence_id"] for r in rows}) == 1
+    assert sorted(r["offset"] for r in rows) == [0, *np.cumsum([r["length"] for r in sorted(rows, key=lambda r: r["offset"])])[:-1]]
+
+
 def test_quality(spark):
     rng = random.Random(4)
     clean = lambda: " ".join(rng.choice(["the", "river", "runs", "cold", "and", "deep", "today."]) for _ in range(60))
