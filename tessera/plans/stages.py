@@ -120,7 +120,7 @@ def budgeted_corpus(spark, sf_dir):
     return cp.budgeted_corpus(read(spark, sf_dir, "documents"), F.col("n_chars"), 300_000, chunk=5).select("doc_id")
 
 
-@query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 400")
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents) WHERE r <= 400")
 def probed_read(spark, sf_dir):
     return cp.probed(read(spark, sf_dir, "documents"), 400).select("doc_id")
 
@@ -139,7 +139,7 @@ def format_projection(spark, sf_dir):
     return cv.projected(_PER_TURN.df(spark))
 
 
-@query(f"WITH r AS ({_RENDERED}), s AS (SELECT unnest(['content', 'samvaad', 'chatml', 'alpaca', 'header']) AS format, unnest([sum(length(content)), sum(length(samvaad)), sum(length(chatml)), sum(length(alpaca)), sum(length(header))]) AS u, sum(length(content)) AS c FROM r), t AS (SELECT format, round((u - c) / u, 4) AS share FROM s) SELECT format, share FROM t ORDER BY share DESC, format DESC LIMIT 1")
+@query(f"WITH r AS ({_RENDERED}), s AS (SELECT unnest(['content', 'samvaad', 'chatml', 'alpaca', 'header']) AS format, unnest([sum(length(content)), sum(length(samvaad)), sum(length(chatml)), sum(length(alpaca)), sum(length(header))]) AS u, sum(length(content)) AS c FROM r), t AS (SELECT format, round((u - c) / u, 4) AS share FROM s) SELECT max(format) AS format, share FROM t WHERE share = (SELECT max(share) FROM t) GROUP BY share")
 def worst_format(spark, sf_dir):
     return cv.worst_format(cv.format_costs(cv.rendered(read(spark, sf_dir, "conversations"))))
 

@@ -55,7 +55,8 @@ class ShardStore:
         if done := self.manifest().where(F.col("shard_id") == shard_id).collect():
             return done[0].asDict()
         given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        sets = cut(given.select("doc_id", sm.shingles(F.col("text")).alias("set")).select("*", sm.signature(F.col("set")).alias("sig")))
+        sets = cut(given.select("doc_id", sm.shingles(F.col("text")).alias("set")))
+        sets = cut(sets.select("*", sm.signature(F.col("set")).alias("sig")))
         known = self._committed("signatures")
         fresh, across = sets, 0
         if known is not None:

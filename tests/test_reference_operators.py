@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 from tessera.functions import text as tx
 from tessera.operators import attribution as at
 from tessera.operators import corpus as cp
+from tessera.operators import language as lg
 from tessera.operators import manifest as mf
 from tessera.operators import mixture as mx
 from tessera.operators import personal as pn
@@ -16,7 +17,7 @@ from tessera.plans import queries as plans
 from tessera.sources import tables as tb
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "benchmark", "conversations")
+TABLES = ("documents", "pages", "benchmark", "conversations")
 
 
 @pytest.mark.parametrize("name", sorted(plans.ORACLE_SQL))
@@ -64,8 +65,8 @@ def test_personal_data(spark):
 def test_detection_finds_the_language_it_was_trained_on(spark):
     en, fr = "the quick brown fox jumps over the lazy dog and runs away ", "le renard brun saute par dessus le chien paresseux et part "
     rows = spark.createDataFrame([(1, "en", en * 3), (2, "fr", fr * 3), (3, "en", "short")], "doc_id long, lang string, text string")
-    got = {r["doc_id"]: r["lang"] for r in cp.detect_language(rows, cp.language_profiles(rows)).collect()}
-    assert got == {1: "en", 2: "fr"}
+    got = {r["doc_id"]: r["detected"] for r in lg.detect_language(rows, lg.language_profiles(rows)).collect()}
+    assert got == {1: "en", 2: "fr", 3: None}
 
 
 def test_seams_and_shares(spark):
