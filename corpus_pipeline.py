@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, table
 from tessera.llm.exact_dedup import exact_dedup_stage
 from tessera.llm.minhash import near_dedup_stage
 from tessera.llm.packing import best_fit_packing
@@ -30,7 +30,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
