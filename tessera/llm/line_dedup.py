@@ -65,38 +65,11 @@ class Spans:
         low = self.start[at]
         return mix((self.sums[self.end[at + size - 1]] - self.sums[low]) * self.down[low])
 
-    def contexts(self, min_words: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """The breaks with half a window of words before them and then those with one behind them, the hashes of those half
-        windows, and the number of the former."""
+    def contexts(self, min_words: int) -> np.ndarray:
+        """Hashes of the half windows of words before line breaks, where there is one, and then of those behind them."""
         half = min_words // 2
         before, after = self.breaks[self.breaks >= half], self.breaks[self.breaks + half <= self.n]
-        return np.concatenate([before, after]), np.concatenate([self.hashes(before - half, half), mix(self.hashes(after, half) ^ _AFTER)]), len(before)
-
-    def over(self, min_words: int, held: np.ndarray) -> np.ndarray:
-        """The windows of min_words words over a line break that may repeat: of every break inside, the half window on
-        its longer side has its bit on."""
-        half, last = min_words // 2, self.n - min_words
-        if last < 0 or not len(self.breaks):
-            return np.zeros(0, np.int64)
-        at, h, k = self.contexts(min_words)
-        on = KeyFilter.on(held, h)
-        # contexts() leaves out breaks too near to the text's ends: the first ones before, the last ones behind
-        before, after = np.zeros(len(self.breaks), bool), np.zeros(len(self.breaks), bool)
-        before[len(self.breaks) - k :], after[: len(at) - k] = on[:k], on[k:]
-        if not on.any():
-            return np.zeros(0, np.int64)
-        inside, bad = np.zeros(self.n + 2, np.int64), np.zeros(self.n + 2, np.int64)
-
-        def mark(into: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
-            low, high = np.maximum(low, 0), np.minimum(high, last)
-            some = low <= high
-            np.add.at(into, low[some], 1)
-            np.add.at(into, high[some] + 1, -1)
-
-        mark(inside, self.breaks - min_words + 1, self.breaks - 1)
-        mark(bad, self.breaks[~before] - min_words + 1, self.breaks[~before] - half)
-        mark(bad, self.breaks[~after] - (min_words - half), self.breaks[~after] - 1)
-        return np.flatnonzero((np.cumsum(inside) > 0) & (np.cumsum(bad) == 0))
+        return np.concatenate([self.hashes(before - half, half), mix(self.hashes(after, half) ^ _AFTER)])
 
     def line_ends(self) -> np.ndarray:
         """The word behind each line."""
@@ -111,6 +84,31 @@ class Spans:
         return np.where(whole, self.place[np.where(whole, a, 0)], 0), np.where(whole, self.place[np.where(whole, b, 0)], -1), self.place[u], self.place[v]
 
 
+def windows_over(first: np.ndarray, n: int, around: np.ndarray, held: np.ndarray, min_words: int) -> np.ndarray:
+    """The windows of min_words words, of n, over a line break that may repeat: of every break inside, the half window on its
+    longer side has its bit on. first: the first word of each line; around: the hashes of Spans.contexts()."""
+    half, last, breaks = min_words // 2, n - min_words, first[1:]
+    on = KeyFilter.on(held, around)
+    if last < 0 or not on.any():
+        return _ZERO[:0]
+    # contexts() leaves out breaks too near to the text's ends: the first ones before, the last ones behind
+    k = int((breaks >= half).sum())
+    before, after = np.zeros(len(breaks), bool), np.zeros(len(breaks), bool)
+    before[len(breaks) - k :], after[: len(around) - k] = on[:k], on[k:]
+    inside, bad = np.zeros(n + 2, np.int64), np.zeros(n + 2, np.int64)
+
+    def mark(into: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        low, high = np.maximum(low, 0), np.minimum(high, last)
+        some = low <= high
+        np.add.at(into, low[some], 1)
+        np.add.at(into, high[some] + 1, -1)
+
+    mark(inside, breaks - min_words + 1, breaks - 1)
+    mark(bad, breaks[~before] - min_words + 1, breaks[~before] - half)
+    mark(bad, breaks[~after] - (min_words - half), breaks[~after] - 1)
+    return np.flatnonzero((np.cumsum(inside) > 0) & (np.cumsum(bad) == 0))
+
+
 def winnow(hashes: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """For every window, which start at lines 0, 1, 2 and so on: the index of its least hash (the last of equal ones), and
     its number of lines. A queue holds the lines that may still become the least."""
@@ -131,9 +129,9 @@ def winnow(hashes: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS) ->
 
 
 def lined(docs: DataFrame, min_words: int) -> DataFrame:
-    """docs(d, th, text) -> (d, th, place, hash, words, least, whole, around): arrays over the lines that aren't blank (place,
-    hash with white space collapsed, words), over the windows (least line, hash of all lines), and over the half windows
-    beside line breaks (hash)."""
+    """docs(d, th, text) -> (d, th, place, hash, words, least, mark, whole, around, marks): arrays over the lines that aren't
+    blank (place, hash with white space collapsed, words), over the windows (least line, its hash, hash of all lines), over
+    the half windows beside line breaks (hash), and over the selected lines (hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,16 +144,16 @@ def lined(docs: DataFrame, min_words: int) -> DataFrame:
                 least, lines = winnow(hashes, words, min_words)
                 begin = spans.first[: len(least)]
                 whole = spans.hashes(begin, ends[np.arange(len(least)) + lines - 1] - begin)
-                rows.append((spans.place, hashes, words, least, whole.view(np.int64), spans.contexts(min_words)[1].view(np.int64)))
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], pa.list_(t)) for i, t in enumerate(kinds))], ["d", "th", "place", "hash", "words", "least", "whole", "around"])
+                rows.append((spans.place, hashes, words, least, hashes[least], whole.view(np.int64), spans.contexts(min_words).view(np.int64), hashes[np.unique(least)]))
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], pa.list_(t)) for i, t in enumerate(kinds))], ["d", "th", "place", "hash", "words", "least", "mark", "whole", "around", "marks"])
 
-    return docs.select("d", "th", "text").mapInArrow(run, "d long, th long, place array<int>, hash array<long>, words array<int>, least array<int>, whole array<long>, around array<long>")
+    return docs.select("d", "th", "text").mapInArrow(run, "d long, th long, place array<int>, hash array<long>, words array<int>, least array<int>, mark array<long>, whole array<long>, around array<long>, marks array<long>")
 
 
 def break_windows(docs: DataFrame, held: KeyFilter, min_words: int) -> DataFrame:
-    """docs(d, th, text) -> (d, th, g, p, a, b, u, v), arrays over a text's windows that may repeat by Spans.over(): hash,
-    place, and what lines() says."""
+    """docs(d, th, text) -> (d, th, g, p, a, b, u, v), arrays over a text's windows_over(): hash, place, and what lines()
+    says."""
     sent = held.sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +164,7 @@ def break_windows(docs: DataFrame, held: KeyFilter, min_words: int) -> DataFrame
                 if "\n" not in text:
                     continue
                 spans = Spans(text)
-                p = spans.over(min_words, bits)
+                p = windows_over(spans.first, spans.n, spans.contexts(min_words).view(np.int64), bits, min_words)
                 if len(p):
                     rows.append(i)
                     found.append((spans.hashes(p, min_words).view(np.int64), p, *spans.lines(p, min_words)))
@@ -181,7 +179,17 @@ def edged_runs(docs: DataFrame, table: DataFrame, runs: DataFrame, min_words: in
     """docs(d, th, text), lined() as a written table, runs(d, th, runs) of whole lines -> (d, th, a, b): the whole lines inside
     repeated runs of min_words words that have a line break inside."""
     repeated = materialize(table.select(F.explode("around").alias("h")).groupBy("h").count().where("count > 1").select("h"), "repeated")
-    found = materialize(break_windows(docs, KeyFilter(repeated, repeated.count()), min_words).dropDuplicates(["d", "th"]), "breaks")
+    held = KeyFilter(repeated, repeated.count())
+    bits = held.sent
+
+    def any_window(words: pd.Series, around: pd.Series) -> pd.Series:
+        ends = (np.cumsum(w, dtype=np.int64) for w in words)
+        return pd.Series([len(e) > 1 and len(windows_over(np.concatenate([_ZERO, e[:-1]]), int(e[-1]), np.asarray(h, np.int64), bits.value, min_words)) > 0 for e, h in zip(ends, around)], dtype=bool)
+
+    some = F.pandas_udf(any_window, T.BooleanType())
+    chosen = materialize(table.select("d", "th", some("words", "around").alias("some")).where("some").select(F.xxhash64("d", "th").alias("h")), "chosen")
+    texts = docs.where(KeyFilter(chosen, chosen.count()).may_hold(F.xxhash64("d", "th")))
+    found = materialize(break_windows(texts, held, min_words), "breaks")
 
     def outside(runs: pd.Series, u: pd.Series, v: pd.Series, chosen: Iterable[np.ndarray]) -> pd.Series:
         """Indexes of the chosen windows that no run holds. A window inside a deleted run has an earlier copy, so the first
@@ -196,21 +204,24 @@ def edged_runs(docs: DataFrame, table: DataFrame, runs: DataFrame, min_words: in
         return pd.Series(out)
 
     indexes = T.ArrayType(T.IntegerType())
-    joined = materialize(found.join(runs, ["d", "th"], "left"), "joined")
+    marked = found.withColumn("may", KeyFilter(runs.select(F.xxhash64("d", "th").alias("h")), runs.count()).may_hold(F.xxhash64("d", "th")))
+    none = marked.where("not may").withColumn("runs", F.lit(None).cast("array<array<int>>"))
+    joined = materialize(marked.where("may").join(runs.hint("merge"), ["d", "th"], "left").unionByName(none).drop("may"), "joined")
     release(found)
 
     def each(chosen: Column) -> DataFrame:
-        rows = joined.select("d", "th", "g", "p", "a", "b", F.explode(chosen).alias("i"))
-        return rows.select("d", "th", *[F.get(k, "i").alias(k) for k in "gpab"])
+        # A struct for each index: exploding indexes would repeat the arrays in every row.
+        return joined.select("d", "th", F.inline(F.transform(chosen, lambda i: F.struct(*[F.get(k, i).alias(k) for k in "gpab"]))))
 
     # Only windows with a whole line delete anything; the others count as first copies of those.
     whole = F.pandas_udf(lambda runs, u, v, a, b: outside(runs, u, v, (x <= y for x, y in zip(a, b))), indexes)
     whole = materialize(each(whole("runs", "u", "v", "a", "b")), "windows")
-    held = KeyFilter(whole.select(F.col("g").alias("h")), whole.count())
-    sent = held.sent
+    sent = KeyFilter(whole.select(F.col("g").alias("h")), whole.count()).sent
     plain = F.pandas_udf(lambda runs, u, v, a, b, g: outside(runs, u, v, ((x > y) & KeyFilter.on(sent.value, np.array(h, np.int64)) for x, y, h in zip(a, b, g))), indexes)
     windows = materialize(whole.unionByName(each(plain("runs", "u", "v", "a", "b", "g"))), "windows")
     release(joined)
+    again = materialize(windows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select(F.col("g").alias("h")), "again")
+    windows = materialize(windows.where(KeyFilter(again, again.count()).may_hold(F.col("g"))), "windows")
     first = windows.groupBy("g").agg(F.min(F.struct("d", "th", "p")).alias("f"), F.count("*").alias("n")).where("n > 1").select("g", "f", "n")
     later = split_join(windows.where("a <= b"), first, ["g"], "n", windows.count(), F.struct("d", "th", "p")).where("not (d = f.d and th = f.th and p = f.p)")
     return later.select("d", "th", "a", "b").distinct()
@@ -229,8 +240,11 @@ def merged(runs: Iterable[Sequence[int]]) -> list[list[int]]:
 
 def all_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs(d, th, text) -> (d, th, runs): the line ranges to delete of each document that has any."""
-    # Repeated rows are dropped by their line hashes, so that no text is shuffled for it.
-    table = materialize(lined(docs, min_words).dropDuplicates(["d", "th"]), "lined")
+    table = materialize(lined(docs, min_words), "lined")
+    repeats = materialize(table.groupBy("d", "th").count().where("count > 1").select("d", "th"), "repeats")
+    if not repeats.isEmpty():
+        once = table.join(repeats, ["d", "th"], "left_semi").dropDuplicates(["d", "th"])
+        table = materialize(table.join(repeats, ["d", "th"], "left_anti").unionByName(once), "lined")
     merge = F.pandas_udf(lambda s: pd.Series([merged(x) for x in s]), T.ArrayType(T.ArrayType(T.IntegerType())))
     whole = materialize(repeated_runs(table, min_words).select("d", "th", merge("runs").alias("runs")), "whole")
     edged = edged_runs(docs, table, whole, min_words).select("d", "th", F.array("a", "b").alias("r"))
@@ -277,30 +291,28 @@ def extended(later: np.ndarray, earlier: np.ndarray, words: np.ndarray, place: n
 def repeated_runs(table: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """lined() as a written table -> (d, th, runs): the ranges of repeated whole lines of each document that has any.
     Documents are in the order of (d, th); of equal runs the first stays."""
-    marks = table.select("d", "th", F.explode(F.array_distinct("least")).alias("m"), "hash").select(F.element_at("hash", F.col("m") + 1).alias("h"))
-    repeated = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    selected = table.select("d", "th", "hash", F.explode(F.arrays_zip("least", "whole")).alias("w"))
-    selected = selected.select("d", "th", F.col("w.least").alias("i"), F.col("w.whole").alias("g"), F.element_at("hash", F.col("w.least") + 1).alias("h"))
-    selected = materialize(selected.join(repeated.select("h"), "h", "left_semi"), "selected")
+    marks = table.select(F.explode("marks").alias("h"))
+    repeated = materialize(marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
+    selected = table.select("d", "th", F.inline(F.arrays_zip("least", "whole", "mark"))).toDF("d", "th", "i", "g", "h")
+    selected = materialize(selected.where(KeyFilter(repeated, repeated.count()).may_hold(F.col("h"))), "selected")
     first = selected.groupBy("h", "g").agg(F.min(F.struct("d", "th", "i")).alias("f"), F.count("*").alias("n")).where("n > 1")
     first = first.select("h", "g", "n", F.col("f.d").alias("fd"), F.col("f.th").alias("fth"), F.col("f.i").alias("j"))
     pairs = split_join(selected, first, ["h", "g"], "n", selected.count(), F.struct("d", "th", "i")).where("not (d = fd and th = fth and i = j)")
-    pairs = materialize(pairs.groupBy("d", "th", "fd", "fth").agg(F.collect_set(F.struct("i", "j")).alias("matches")), "pairs")
+    pairs = pairs.groupBy("d", "th", "fd", "fth").agg(F.collect_set(F.struct("i", "j")).alias("m"))
+    pairs = materialize(pairs.select("d", "th", "fd", "fth", F.col("m.i").alias("i"), F.col("m.j").alias("j")), "pairs")
     release(selected)
-    own = table.select("d", "th", "place", F.col("hash").alias("later"), "words")
+    n = pairs.count()
+    of = lambda d, th: table.where(KeyFilter(pairs.select(F.xxhash64(d, th).alias("h")), n).may_hold(F.xxhash64("d", "th")))
+    own = of("d", "th").select("d", "th", "place", F.col("hash").alias("later"), "words")
     # A passage that very many documents share joins all of them to its first one: that one's lines are repeated instead.
     fans = pairs.groupBy("fd", "fth").agg(F.count("*").alias("fan"))
-    other = table.select(F.col("d").alias("fd"), F.col("th").alias("fth"), F.col("hash").alias("earlier")).join(fans, ["fd", "fth"])
-    both = split_join(pairs.join(own, ["d", "th"]), other, ["fd", "fth"], "fan", pairs.count(), F.struct("d", "th"))
+    other = of("fd", "fth").select(F.col("d").alias("fd"), F.col("th").alias("fth"), F.col("hash").alias("earlier")).join(fans, ["fd", "fth"])
+    both = split_join(pairs.join(own, ["d", "th"]), other, ["fd", "fth"], "fan", n, F.struct("d", "th"))
 
-    def runs(later: pd.Series, earlier: pd.Series, words: pd.Series, place: pd.Series, matches: pd.Series) -> pd.Series:
-        out = []
-        for a, b, w, p, ms in zip(later, earlier, words, place, matches):
-            at = np.array([(m["i"], m["j"]) for m in ms], np.int64)
-            out.append(extended(a, b, w, p, at[:, 0], at[:, 1], min_words))
-        return pd.Series(out)
+    def runs(later: pd.Series, earlier: pd.Series, words: pd.Series, place: pd.Series, i: pd.Series, j: pd.Series) -> pd.Series:
+        return pd.Series([extended(a, b, w, p, np.asarray(x, np.int64), np.asarray(y, np.int64), min_words) for a, b, w, p, x, y in zip(later, earlier, words, place, i, j)])
 
-    found = F.pandas_udf(runs, T.ArrayType(T.ArrayType(T.IntegerType())))("later", "earlier", "words", "place", "matches")
+    found = F.pandas_udf(runs, T.ArrayType(T.ArrayType(T.IntegerType())))("later", "earlier", "words", "place", "i", "j")
     return both.select("d", "th", found.alias("runs")).where(F.size("runs") > 0).groupBy("d", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"))
 
 
