@@ -105,34 +105,29 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], n: str, total:
     return dealt.join(right.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long")))), [*on, "__part"]).drop("__part")
 
 
-#: Most bits of a key filter, and those of the blocks that it is built of. What it lets through beyond them costs a
-#: shuffle of rows that the exact join then drops, never a wrong result.
-FILTER_BITS, BLOCK_BITS = 1 << 29, 1 << 16
+#: Most bits of a key filter, and those of the bitmaps that it is built of. What it lets through beyond them costs a shuffle
+#: of rows that the exact join then drops, never a wrong result.
+FILTER_BITS, BITMAP_BITS = 1 << 29, 1 << 15
 
 
 class KeyFilter:
-    """A bit for each of `n` 64-bit keys(h), 16 bits a key and at most FILTER_BITS: built block by block, sent to all
-    tasks. A row whose bit is off has none of the keys."""
+    """A bit for each of `n` 64-bit keys(h), 16 bits a key and at most FILTER_BITS: bitmaps, partially aggregated, that are put
+    together on the driver and sent to all tasks. A row whose bit is off has none of the keys."""
 
     def __init__(self, keys: DataFrame, n: int):
-        bits = min(power_of_two(16 * n, BLOCK_BITS), FILTER_BITS)
-
-        def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            on = np.zeros(BLOCK_BITS, bool)
-            on[pdf["slot"].to_numpy() % BLOCK_BITS] = True
-            return pd.DataFrame({"block": [key[0]], "bytes": [np.packbits(on).tobytes()]})
-
-        slots = keys.select(F.pmod("h", F.lit(bits)).alias("slot")).withColumn("block", F.expr(f"slot div {BLOCK_BITS}"))
+        bits = min(power_of_two(16 * n, BITMAP_BITS), FILTER_BITS)
+        slots = keys.select(F.pmod("h", F.lit(bits)).alias("slot"))
+        bitmaps = slots.groupBy(F.expr(f"slot div {BITMAP_BITS}").alias("b")).agg(F.bitmap_construct_agg(F.expr(f"slot % {BITMAP_BITS}")).alias("m")).toArrow()
         out = np.zeros(bits // 8, np.uint8)
-        for r in slots.groupBy("block").applyInPandas(block, "block long, bytes binary").toLocalIterator():
-            out[r["block"] * BLOCK_BITS // 8 : (r["block"] + 1) * BLOCK_BITS // 8] = np.frombuffer(r["bytes"], np.uint8)
+        for b, m in zip(bitmaps.column("b").to_pylist(), bitmaps.column("m")):
+            out[b * BITMAP_BITS // 8 : (b + 1) * BITMAP_BITS // 8] = np.frombuffer(m.as_py(), np.uint8)
         self.sent = keys.sparkSession.sparkContext.broadcast(out)
 
     @staticmethod
     def on(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Which of the hashes (signed or not) have their bit on."""
         slot = (h.view(np.uint64) & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
-        return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+        return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
     def may_hold(self, h: Column) -> Column:
         sent = self.sent

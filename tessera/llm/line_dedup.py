@@ -12,6 +12,7 @@ MIN_WORDS words that pass join the first one that is equal, and the whole lines
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -42,90 +43,151 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
-class Spans:
-    """Hashes of spans of a text's words, from sums over its bytes: white space counts as one space, or as one line break,
-    between words and not at the edges of a span. Blank lines don't count."""
-
-    def __init__(self, text: str):
-        lines = [(i, " ".join(w)) for i, w in enumerate(map(str.split, text.split("\n"))) if w]
-        b = np.frombuffer("\n".join(line for _, line in lines).encode(), np.uint8)
-        self.place = np.array([i for i, _ in lines], np.int64)
-        gap = np.flatnonzero((b == 32) | (b == 10))
-        some = int(len(b) > 0)
-        #: first byte of each word and the byte behind it; words behind which a line starts
-        self.start, self.end = np.concatenate([_ZERO[:some], gap + 1]), np.concatenate([gap, np.full(some, len(b))])
-        self.n = len(self.start)
-        self.breaks = np.flatnonzero(b[gap] == 10) + 1
-        self.first = np.concatenate([_ZERO[:some], self.breaks])
-        up, self.down = powers(len(b) + 1)
-        self.sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(_BYTE[b] * up[: len(b)], out=self.sums[1:])
+_SPACE_BYTE = np.zeros(256, bool)
+_SPACE_BYTE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+#: White space beyond ASCII.
+_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Bytes of text that a worker lays out at once.
+CHUNK_BYTES = 1 << 18
+
+
+class Layout:
+    """Words and lines of several documents, counted through all of them; blank lines don't count."""
+
+    def __init__(self, words: np.ndarray, lines: np.ndarray, min_words: int):
+        """words: of each line; lines: of each document."""
+        self.words, self.count, self.min_words, self.half = words, lines, min_words, min_words // 2
+        self.total = np.concatenate([_ZERO, np.cumsum(words)])
+        self.first, self.ends = self.total[:-1], self.total[1:]
+        self.doc = np.repeat(np.arange(len(lines)), lines)
+        last = np.cumsum(lines)
+        self.line_end, self.doc_line = last, last - lines
+        self.doc_first, self.doc_end = self.total[last - lines], self.total[last]
+        inner = np.arange(len(words)) != self.doc_line[self.doc]
+        #: words before which a line breaks, and their documents; those with half a window of words before and behind them
+        self.breaks, self.break_doc = self.first[inner], self.doc[inner]
+        self.before = self.breaks - self.half >= self.doc_first[self.break_doc]
+        self.after = self.breaks + self.half <= self.doc_end[self.break_doc]
+        #: order of half windows: by document, those before breaks first
+        self.order = np.argsort(np.concatenate([2 * self.break_doc[self.before], 2 * self.break_doc[self.after] + 1]), kind="stable")
+
+    def contexts_of_doc(self) -> np.ndarray:
+        n = len(self.count)
+        return np.bincount(self.break_doc[self.before], minlength=n) + np.bincount(self.break_doc[self.after], minlength=n)
+
+    def windows(self, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, document) of the windows of min_words words over a line break that may repeat: of every break inside,
+        the half window on its longer side is on. on: of each half window, in order."""
+        size, half = self.min_words, self.half
+        flags = np.empty(len(on), bool)
+        flags[self.order] = on
+        before, after = self.before.copy(), self.after.copy()
+        k = int(before.sum())
+        before[self.before], after[self.after] = flags[:k], flags[k:]
+        n = int(self.total[-1])
+        inside, bad = np.zeros(n + 2, np.int64), np.zeros(n + 2, np.int64)
+        least, most = self.doc_first[self.break_doc], self.doc_end[self.break_doc] - size
+
+        def mark(into: np.ndarray, some: np.ndarray | slice, low: int, high: int) -> None:
+            a, b = np.maximum(self.breaks[some] + low, least[some]), np.minimum(self.breaks[some] + high, most[some])
+            a, b = a[a <= b], b[a <= b]
+            into += np.bincount(a, minlength=n + 2) - np.bincount(b + 1, minlength=n + 2)
+
+        mark(inside, before | after, 1 - size, -1)
+        mark(bad, ~before, 1 - size, -half)
+        mark(bad, ~after, half - size, -1)
+        at = np.flatnonzero((np.cumsum(inside) > 0) & (np.cumsum(bad) == 0))
+        return at, self.doc[np.searchsorted(self.ends, at, side="right")]
+
+
+class Texts(Layout):
+    """Layout of texts, with hashes of spans of words from sums over their bytes. White space counts as one space, or as one
+    line break, between words, and not at the edges of a span."""
+
+    def __init__(self, texts: list[str], min_words: int):
+        data = [(t if t.isascii() else _WIDE.sub(" ", t)).encode() for t in texts]
+        sizes = np.array([len(d) + 1 for d in data], np.int64)
+        b = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
+        space = _SPACE_BYTE[b]
+        solid = ~space
+        start = np.flatnonzero(solid[1:] & space[:-1]) + 1
+        if solid[0]:
+            start = np.concatenate([_ZERO, start])
+        end = np.flatnonzero(solid[:-1] & space[1:]) + 1
+        break_at = np.cumsum(b == 10)
+        doc_at = np.cumsum(sizes) - sizes
+        doc = np.searchsorted(doc_at, start, side="right") - 1
+        line = break_at[start]
+        fresh = np.ones(len(start), bool)
+        fresh[1:] = (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])
+        first = np.flatnonzero(fresh)
+        super().__init__(np.diff(np.append(first, len(start))), np.bincount(doc[first], minlength=len(texts)), min_words)
+        #: the number of a line in its text, blank ones counted
+        self.place = line[first] - np.concatenate([_ZERO, break_at])[doc_at[doc[first]]]
+        length = end - start
+        self.start = np.cumsum(length) - length + np.arange(len(length)) + 1  # a separator before each word
+        self.end = self.start + length
+        plain = np.empty(int(solid.sum()) + len(start), np.uint8)
+        letters = np.ones(len(plain), bool)
+        letters[self.start - 1] = False
+        plain[letters] = b[solid]
+        plain[self.start - 1] = np.where(fresh, 10, 32)
+        up, self.down = powers(len(plain) + 1)
+        self.sums = np.zeros(len(plain) + 1, np.uint64)
+        np.cumsum(_BYTE[plain] * up[: len(plain)], out=self.sums[1:])
 
     def hashes(self, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
         low = self.start[at]
-        return mix((self.sums[self.end[at + size - 1]] - self.sums[low]) * self.down[low])
+        return mix((self.sums[self.end[at + size - 1]] - self.sums[low]) * self.down[low]).view(np.int64)
 
-    def contexts(self, min_words: int) -> np.ndarray:
-        """Hashes of the half windows of words before line breaks, where there is one, and then of those behind them."""
-        half = min_words // 2
-        before, after = self.breaks[self.breaks >= half], self.breaks[self.breaks + half <= self.n]
-        return np.concatenate([self.hashes(before - half, half), mix(self.hashes(after, half) ^ _AFTER)])
+    def contexts(self) -> np.ndarray:
+        """Hashes of the half windows of words beside line breaks, in order."""
+        before = self.hashes(self.breaks[self.before] - self.half, self.half)
+        after = mix(self.hashes(self.breaks[self.after], self.half).view(np.uint64) ^ _AFTER).view(np.int64)
+        return np.concatenate([before, after])[self.order]
 
-    def line_ends(self) -> np.ndarray:
-        """The word behind each line."""
-        return np.concatenate([self.first[1:], np.full(min(self.n, 1), self.n)])
-
-    def lines(self, at: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    def lines(self, at: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of windows: the first and last whole line's places (last < first without one), the first and last touched."""
-        ends = self.line_ends()
-        a, b = np.searchsorted(self.first, at), np.searchsorted(ends, at + size, side="right") - 1
-        u, v = np.searchsorted(self.first, at, side="right") - 1, np.searchsorted(ends, at + size)
+        end = at + self.min_words
+        a, b = np.searchsorted(self.first, at), np.searchsorted(self.ends, end, side="right") - 1
+        u, v = np.searchsorted(self.first, at, side="right") - 1, np.searchsorted(self.ends, end)
         whole = a <= b
         return np.where(whole, self.place[np.where(whole, a, 0)], 0), np.where(whole, self.place[np.where(whole, b, 0)], -1), self.place[u], self.place[v]
 
-
-def windows_over(first: np.ndarray, n: int, around: np.ndarray, held: np.ndarray, min_words: int) -> np.ndarray:
-    """The windows of min_words words, of n, over a line break that may repeat: of every break inside, the half window on its
-    longer side has its bit on. first: the first word of each line; around: the hashes of Spans.contexts()."""
-    half, last, breaks = min_words // 2, n - min_words, first[1:]
-    on = KeyFilter.on(held, around)
-    if last < 0 or not on.any():
-        return _ZERO[:0]
-    # contexts() leaves out breaks too near to the text's ends: the first ones before, the last ones behind
-    k = int((breaks >= half).sum())
-    before, after = np.zeros(len(breaks), bool), np.zeros(len(breaks), bool)
-    before[len(breaks) - k :], after[: len(around) - k] = on[:k], on[k:]
-    inside, bad = np.zeros(n + 2, np.int64), np.zeros(n + 2, np.int64)
-
-    def mark(into: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
-        low, high = np.maximum(low, 0), np.minimum(high, last)
-        some = low <= high
-        np.add.at(into, low[some], 1)
-        np.add.at(into, high[some] + 1, -1)
-
-    mark(inside, breaks - min_words + 1, breaks - 1)
-    mark(bad, breaks[~before] - min_words + 1, breaks[~before] - half)
-    mark(bad, breaks[~after] - (min_words - half), breaks[~after] - 1)
-    return np.flatnonzero((np.cumsum(inside) > 0) & (np.cumsum(bad) == 0))
-
-
-def winnow(hashes: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """For every window, which start at lines 0, 1, 2 and so on: the index of its least hash (the last of equal ones), and
-    its number of lines. A queue holds the lines that may still become the least."""
-    total = np.concatenate([_ZERO, np.cumsum(words)])
-    ends = np.searchsorted(total, total[:-1] + min_words)
-    n = int((ends <= len(words)).sum())
-    least, queue, end, values = np.zeros(n, np.int64), deque(), 0, hashes.tolist()
-    for start, stop in enumerate(ends[:n].tolist()):
-        while end < stop:
-            while queue and values[queue[-1]] >= values[end]:
-                queue.pop()
-            queue.append(end)
-            end += 1
-        while queue[0] < start:
-            queue.popleft()
-        least[start] = queue[0]
-    return least, ends[:n] - np.arange(n)
+    def winnowed(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every window of lines: its first line, its least hash's (the last of equal ones), and the line behind it. A queue
+        holds the lines that may still become the least."""
+        stop = np.searchsorted(self.total, self.first + self.min_words)
+        start = np.flatnonzero(stop <= self.line_end[self.doc])
+        least, queue, end, values = [], deque(), 0, hashes.tolist()
+        for low, high in zip(start.tolist(), stop[start].tolist()):
+            end = max(end, low)
+            while end < high:
+                while queue and values[queue[-1]] >= values[end]:
+                    queue.pop()
+                queue.append(end)
+                end += 1
+            while queue[0] < low:
+                queue.popleft()
+            least.append(queue[0])
+        return start, np.array(least, np.int64), stop[start]
+
+
+def chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch with about CHUNK_BYTES of text each, one row at least."""
+    held, size, begin = [], 0, 0
+    for i, text in enumerate(map(pa.StringScalar.as_py, batch.column(column))):
+        held.append(text)
+        size += len(text)
+        if size >= CHUNK_BYTES:
+            yield batch.slice(begin, len(held)), held
+            held, size, begin = [], 0, i + 1
+    if held:
+        yield batch.slice(begin), held
+
+
+def listed(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([_ZERO, np.cumsum(counts)]), pa.int32()), pa.array(values, pa.int64()).cast(kind))
 
 
 def lined(docs: DataFrame, min_words: int) -> DataFrame:
@@ -135,41 +197,39 @@ def lined(docs: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in map(pa.StringScalar.as_py, batch.column(2)):
-                spans = Spans(text)
-                ends = spans.line_ends()
-                words = ends - spans.first
-                hashes = spans.hashes(spans.first, words).view(np.int64)
-                least, lines = winnow(hashes, words, min_words)
-                begin = spans.first[: len(least)]
-                whole = spans.hashes(begin, ends[np.arange(len(least)) + lines - 1] - begin)
-                rows.append((spans.place, hashes, words, least, hashes[least], whole.view(np.int64), spans.contexts(min_words).view(np.int64), hashes[np.unique(least)]))
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], pa.list_(t)) for i, t in enumerate(kinds))], ["d", "th", "place", "hash", "words", "least", "mark", "whole", "around", "marks"])
+            for part, texts in chunks(batch, 2):
+                t = Texts(texts, min_words)
+                hashes = t.hashes(t.first, t.words)
+                start, least, stop = t.winnowed(hashes)
+                whole = t.hashes(t.first[start], t.total[stop] - t.total[start])
+                n, of = len(texts), t.doc[start]
+                windows = np.bincount(of, minlength=n)
+                picked = np.ones(len(least), bool)
+                picked[1:] = least[1:] != least[:-1]
+                arrays = [
+                    listed(t.place, t.count, pa.int32()), listed(hashes, t.count, pa.int64()), listed(t.words, t.count, pa.int32()), listed(least - t.doc_line[of], windows, pa.int32()),
+                    listed(hashes[least], windows, pa.int64()), listed(whole, windows, pa.int64()), listed(t.contexts(), t.contexts_of_doc(), pa.int64()), listed(hashes[least[picked]], np.bincount(of[picked], minlength=n), pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], ["d", "th", "place", "hash", "words", "least", "mark", "whole", "around", "marks"])
 
     return docs.select("d", "th", "text").mapInArrow(run, "d long, th long, place array<int>, hash array<long>, words array<int>, least array<int>, mark array<long>, whole array<long>, around array<long>, marks array<long>")
 
 
 def break_windows(docs: DataFrame, held: KeyFilter, min_words: int) -> DataFrame:
-    """docs(d, th, text) -> (d, th, g, p, a, b, u, v), arrays over a text's windows_over(): hash, place, and what lines()
-    says."""
+    """docs(d, th, text) -> (d, th, g, p, a, b, u, v), arrays over a text's windows that may repeat: hash, place, and what
+    lines() says."""
     sent = held.sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         for batch in batches:
-            rows, found = [], []
-            for i, text in enumerate(map(pa.StringScalar.as_py, batch.column(2))):
-                if "\n" not in text:
-                    continue
-                spans = Spans(text)
-                p = windows_over(spans.first, spans.n, spans.contexts(min_words).view(np.int64), bits, min_words)
-                if len(p):
-                    rows.append(i)
-                    found.append((spans.hashes(p, min_words).view(np.int64), p, *spans.lines(p, min_words)))
-            arrays = [pa.array([f[k] for f in found], pa.list_(pa.int64() if k == 0 else pa.int32())) for k in range(6)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(rows, pa.int64())) for k in (0, 1)), *arrays], ["d", "th", "g", "p", "a", "b", "u", "v"])
+            for part, texts in chunks(batch, 2):
+                t = Texts(texts, min_words)
+                at, of = t.windows(KeyFilter.on(bits, t.contexts()))
+                counts = np.bincount(of, minlength=len(texts))
+                rows = np.flatnonzero(counts)
+                values = [(t.hashes(at, min_words), pa.int64()), *((x, pa.int32()) for x in (at - t.doc_first[of], *t.lines(at)))]
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(rows)) for k in (0, 1)), *(listed(x, counts[rows], k) for x, k in values)], ["d", "th", "g", "p", "a", "b", "u", "v"])
 
     ints = ", ".join(f"{k} array<int>" for k in "pabuv")
     return docs.select("d", "th", "text").mapInArrow(run, f"d long, th long, g array<long>, {ints}")
@@ -183,8 +243,10 @@ def edged_runs(docs: DataFrame, table: DataFrame, runs: DataFrame, min_words: in
     bits = held.sent
 
     def any_window(words: pd.Series, around: pd.Series) -> pd.Series:
-        ends = (np.cumsum(w, dtype=np.int64) for w in words)
-        return pd.Series([len(e) > 1 and len(windows_over(np.concatenate([_ZERO, e[:-1]]), int(e[-1]), np.asarray(h, np.int64), bits.value, min_words)) > 0 for e, h in zip(ends, around)], dtype=bool)
+        lines = np.array([len(w) for w in words], np.int64)
+        t = Layout(np.concatenate([_ZERO[:0], *words]), lines, min_words)
+        _, of = t.windows(KeyFilter.on(bits.value, np.concatenate([_ZERO[:0], *around]).astype(np.int64)))
+        return pd.Series(np.bincount(of, minlength=len(lines)) > 0)
 
     some = F.pandas_udf(any_window, T.BooleanType())
     chosen = materialize(table.select("d", "th", some("words", "around").alias("some")).where("some").select(F.xxhash64("d", "th").alias("h")), "chosen")
