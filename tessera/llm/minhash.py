@@ -5,7 +5,8 @@ bits, the value its minimum there); empty bins borrow from bins that a two-unive
 Signatures are cut into 32 bands of 4, so that a pair of similarity 0.75 shares a bucket with probability
 1 - (1 - 0.75^4)^32 = 0.999995.
 
-Within a bucket, edges form a star: one centre, by hash, against the others, confirmed on full sets. A pair of
+Within a bucket, edges form a star: one centre (the least number of a class, which are dealt by hash) against the others,
+confirmed on full sets. A pair of
 non-centres might be similar without either being similar to the centre, so buckets whose members are then still in
 different components are settled exactly: the members outside the bucket's largest component are dealt to blocks of
 bounded size, every block meets the bucket's members chunk by chunk, and shared shingles are counted through an index of
@@ -225,12 +226,17 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     found = known.agg(F.min(own).alias("first"), F.count("*").alias("k"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
     classes = materialize(found.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers stay as written
     rows = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    # One centre by hash: the same in all buckets of a group, so that a pair is met once. Buckets with the same members,
-    # known by their number and two sums of hashes, count once.
-    centre = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("centre"), F.col("n").alias("m"))).alias("c")
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), centre).where("k > 1")
-    shared = shared.groupBy("k", "x", "y").agg(F.min(F.struct("bucket", "c")).alias("b")).select("b.bucket", "k", "b.c.centre", "b.c.m")
-    members = materialize(split_join(rows, shared, ["bucket"], "k", 32 * classes.count(), F.col("node")).drop("k"), "members")
+    shared = materialize(rows.groupBy("bucket").agg(F.count("*").alias("k"), F.min("node").alias("centre")).where("k > 1"), "shared")
+    # Most buckets have one member: a key filter keeps those rows out of the shuffle.
+    may = KeyFilter(shared.select(F.col("bucket").alias("h")), shared.count()).may_hold(F.col("bucket"))
+    found = materialize(split_join(rows.where(may), shared, ["bucket"], "k", 32 * classes.count(), F.col("node")), "found")
+    # Buckets with the same members, known by their number and two sums of hashes, count once. A group's buckets mostly
+    # have one centre, so that a pair is met once.
+    alike = found.groupBy("bucket", "k").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    once = alike.groupBy("k", "x", "y").agg(F.min("bucket").alias("bucket"))
+    members = materialize(split_join(found.drop("k"), once.select("bucket", "k"), ["bucket"], "k", found.count(), F.col("node")).drop("k"), "members")
+    for done in (shared, found):
+        release(done)
     needed = classes.join(members.select("node").distinct(), "node", "left_semi")
     needed = materialize(needed.select("node", F.col("first.doc_id").alias("__d"), F.col("first.th").alias("__t")), "needed")
     n_needed = needed.count()
@@ -241,8 +247,10 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     if sets.count() > n_needed:  # rows that repeat an id and a text
         sets = materialize(sets.dropDuplicates(["node"]), "sets")
     release(needed)
-    alike = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent  # sizes bound the similarity
-    pairs = materialize(members.where((F.col("node") != F.col("centre")) & alike).select("centre", "node").distinct(), "pairs")
+    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent  # sizes bound the similarity
+    met = members.where("node != centre").select("centre", "node", "n").distinct()
+    sizes = classes.select(F.col("node").alias("centre"), F.col("n").alias("m"))
+    pairs = materialize(met.join(sizes, "centre").where(fits).select("centre", "node"), "pairs")
     links = materialize(confirmed(pairs, sets, percent), "links")
     release(pairs)
     labels = materialize(connected_components(links), "labels")
