@@ -91,10 +91,17 @@ def power_of_two(n: float, least: int = 1) -> int:
 SPLIT_SHARE, LEAST_SPLIT = 10_000, 1000
 
 
-def split_join(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int, spread: Column) -> DataFrame:
+#: Rows of a few numbers that any task can hold, whatever their keys: 50 MB.
+SMALL_ROWS = 1_000_000
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int, spread: Column, small: int = 0) -> DataFrame:
     """Inner join where a key of left may hold any share of its `total` rows. right has one row per key and, in column n,
     the number of left's rows with it. Keys above a ten-thousandth of all rows are dealt to parts by the hash of
-    `spread`, right's row being repeated for each; the table of those keys, which is broadcast, has at most 10,000 rows."""
+    `spread`, right's row being repeated for each; the table of those keys, which is broadcast, has at most 10,000 rows.
+    Where all rows are at most `small`, which one task could hold, it is a plain join."""
+    if total <= small:
+        return left.join(right, on)
     part = max(LEAST_SPLIT, total // SPLIT_SHARE)
     parts = F.ceil(F.col(n) / part)
     hot = right.where(F.col(n) > part).select(*[F.col(k).alias(f"__{k}") for k in on], parts.alias("__parts"))

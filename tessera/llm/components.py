@@ -10,19 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, release, split_join
+from tessera.llm.common import SMALL_ROWS, materialize, release, split_join
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-    return split_join(both, least, ["a"], "n", 2 * n, F.col("b")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    return split_join(both, least, ["a"], "n", 2 * n, F.col("b"), SMALL_ROWS).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
 
 
 def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    moved = split_join(down, least, ["a"], "n", n, F.col("b")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = split_join(down, least, ["a"], "n", n, F.col("b"), SMALL_ROWS).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
 
 

@@ -6,11 +6,10 @@ Signatures are cut into 32 bands of 4, so that a pair of similarity 0.75 shares
 1 - (1 - 0.75^4)^32 = 0.999995.
 
 Within a bucket, edges form a star: one centre (the least number of a class, which are dealt by hash) against the others,
-confirmed on full sets. A pair of
-non-centres might be similar without either being similar to the centre, so buckets whose members are then still in
-different components are settled exactly: the members outside the bucket's largest component are dealt to blocks of
-bounded size, every block meets the bucket's members chunk by chunk, and shared shingles are counted through an index of
-the block. No pairs are written but those that join components.
+confirmed on full sets. A pair of non-centres might be similar without either being similar to the centre, so buckets whose
+members are then still in different components are settled exactly: the members outside the bucket's largest component are
+dealt to blocks of bounded size, every block meets the bucket's members chunk by chunk, and shared shingles are counted
+through an index of the block. No pairs are written but those that join components.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import KeyFilter, keep_once, materialize, release, split_join, text_or_empty
+from tessera.llm.common import SMALL_ROWS, KeyFilter, keep_once, materialize, release, split_join, text_or_empty
 from tessera.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -207,7 +206,7 @@ def settled(members: DataFrame, n_members: int, sets: DataFrame, labels: DataFra
     whole = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.sum("k").alias("k"), F.max(F.struct("size", "comp")).alias("most")).where("parts > 1")
     blocks = F.ceil((F.col("size") - F.col("most.size")) / BLOCK_SHINGLES)
     whole = whole.select("bucket", "k", F.col("most.comp").alias("largest"), blocks.alias("blocks"), F.ceil(F.col("size") / CHUNK_SHINGLES).alias("chunks"))
-    unsettled = split_join(placed, whole, ["bucket"], "k", n_members, F.col("node"))
+    unsettled = split_join(placed, whole, ["bucket"], "k", n_members, F.col("node"), SMALL_ROWS)
     block, chunk = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64("node", "bucket"), F.col("chunks"))
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     inner = unsettled.where("comp != largest").select("bucket", block.alias("block"), numbers("chunks").alias("chunk"), F.lit(True).alias("inner"), "node", "comp")
@@ -225,16 +224,17 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     known = signed.where("n_shingles > 0").groupBy("digest")
     found = known.agg(F.min(own).alias("first"), F.count("*").alias("k"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
     classes = materialize(found.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers stay as written
+    n_classes = classes.count()
     rows = classes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = materialize(rows.groupBy("bucket").agg(F.count("*").alias("k"), F.min("node").alias("centre")).where("k > 1"), "shared")
     # Most buckets have one member: a key filter keeps those rows out of the shuffle.
     may = KeyFilter(shared.select(F.col("bucket").alias("h")), shared.count()).may_hold(F.col("bucket"))
-    found = materialize(split_join(rows.where(may), shared, ["bucket"], "k", 32 * classes.count(), F.col("node")), "found")
+    found = materialize(split_join(rows.where(may), shared, ["bucket"], "k", 32 * n_classes, F.col("node"), 32 * SMALL_ROWS), "found")
     # Buckets with the same members, known by their number and two sums of hashes, count once. A group's buckets mostly
     # have one centre, so that a pair is met once.
     alike = found.groupBy("bucket", "k").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     once = alike.groupBy("k", "x", "y").agg(F.min("bucket").alias("bucket"))
-    members = materialize(split_join(found.drop("k"), once.select("bucket", "k"), ["bucket"], "k", found.count(), F.col("node")).drop("k"), "members")
+    members = materialize(split_join(found.drop("k"), once.select("bucket", "k"), ["bucket"], "k", found.count(), F.col("node"), SMALL_ROWS).drop("k"), "members")
     for done in (shared, found):
         release(done)
     needed = classes.join(members.select("node").distinct(), "node", "left_semi")
@@ -260,9 +260,9 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     labels = materialize(connected_components(links.unionByName(more)), "labels")
     linked = materialize(classes.select("node", "first").join(labels, "node"), "linked")
     best = linked.groupBy("component").agg(F.min("first").alias("keep"), F.count("*").alias("n"))
-    of_linked = split_join(linked, best, ["component"], "n", linked.count(), F.col("node")).select("node", "keep")
+    of_linked = split_join(linked, best, ["component"], "n", linked.count(), F.col("node"), SMALL_ROWS).select("node", "keep")
     kept = classes.select("digest", "node", "k", "first").join(of_linked, "node", "left").select("digest", "k", F.coalesce("keep", "first").alias("keep"))
-    grouped = split_join(signed.drop("bands"), kept, ["digest"], "k", signed.count(), F.struct("doc_id", "th"))
+    grouped = split_join(signed.drop("bands"), kept, ["digest"], "k", signed.count(), F.struct("doc_id", "th"), SMALL_ROWS)
     alone = signed.where("n_shingles = 0").select("doc_id", "th", "n_shingles", own.alias("keep"))
     return grouped.select("doc_id", "th", "n_shingles", "keep").unionByName(alone)
 
