@@ -216,8 +216,8 @@ def lined(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def break_windows(docs: DataFrame, held: KeyFilter, min_words: int) -> DataFrame:
-    """docs(d, th, text) -> (d, th, g, p, a, b, u, v), arrays over a text's windows that may repeat: hash, place, and what
-    lines() says."""
+    """docs(d, th, text) -> (d, th, g, p, a, b, u, v, pg, pp), arrays over a text's windows that may repeat: hash, place and
+    what lines() says of those with a whole line inside, hash and place of the plain others."""
     sent = held.sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,13 +226,16 @@ def break_windows(docs: DataFrame, held: KeyFilter, min_words: int) -> DataFrame
             for part, texts in chunks(batch, 2):
                 t = Texts(texts, min_words)
                 at, of = t.windows(KeyFilter.on(bits, t.contexts()))
-                counts = np.bincount(of, minlength=len(texts))
-                rows = np.flatnonzero(counts)
-                values = [(t.hashes(at, min_words), pa.int64()), *((x, pa.int32()) for x in (at - t.doc_first[of], *t.lines(at)))]
-                yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(rows)) for k in (0, 1)), *(listed(x, counts[rows], k) for x, k in values)], ["d", "th", "g", "p", "a", "b", "u", "v"])
+                g, p, (a, b, u, v) = t.hashes(at, min_words), at - t.doc_first[of], t.lines(at)
+                rows = np.flatnonzero(np.bincount(of, minlength=len(texts)))
+                counts = lambda some: np.bincount(of[some], minlength=len(texts))[rows]
+                whole, plain = a <= b, a > b
+                arrays = [listed(x[whole], counts(whole), pa.int64() if x is g else pa.int32()) for x in (g, p, a, b, u, v)]
+                arrays += [listed(g[plain], counts(plain), pa.int64()), listed(p[plain], counts(plain), pa.int32())]
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(rows)) for k in (0, 1)), *arrays], ["d", "th", "g", "p", "a", "b", "u", "v", "pg", "pp"])
 
     ints = ", ".join(f"{k} array<int>" for k in "pabuv")
-    return docs.select("d", "th", "text").mapInArrow(run, f"d long, th long, g array<long>, {ints}")
+    return docs.select("d", "th", "text").mapInArrow(run, f"d long, th long, g array<long>, {ints}, pg array<long>, pp array<int>")
 
 
 def edged_runs(docs: DataFrame, table: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
@@ -248,40 +251,43 @@ def edged_runs(docs: DataFrame, table: DataFrame, runs: DataFrame, min_words: in
         _, of = t.windows(KeyFilter.on(bits.value, np.concatenate([_ZERO[:0], *around]).astype(np.int64)))
         return pd.Series(np.bincount(of, minlength=len(lines)) > 0)
 
-    some = F.pandas_udf(any_window, T.BooleanType())
-    chosen = materialize(table.select("d", "th", some("words", "around").alias("some")).where("some").select(F.xxhash64("d", "th").alias("h")), "chosen")
+    repeats = F.pandas_udf(any_window, T.BooleanType())
+    chosen = materialize(table.select("d", "th", repeats("words", "around").alias("some")).where("some").select(F.xxhash64("d", "th").alias("h")), "chosen")
     texts = docs.where(KeyFilter(chosen, chosen.count()).may_hold(F.xxhash64("d", "th")))
     found = materialize(break_windows(texts, held, min_words), "breaks")
 
-    def outside(runs: pd.Series, u: pd.Series, v: pd.Series, chosen: Iterable[np.ndarray]) -> pd.Series:
-        """Indexes of the chosen windows that no run holds. A window inside a deleted run has an earlier copy, so the first
-        of its kind is never among those left out."""
+    indexes = T.ArrayType(T.IntegerType())
+
+    @F.pandas_udf(indexes)
+    def outside(runs: pd.Series, u: pd.Series, v: pd.Series) -> pd.Series:
+        """Indexes of the windows that no run holds. A window inside a deleted run has an earlier copy, so the first of its
+        kind is never among those left out."""
         out = []
-        for some, first, last, keep in zip(runs, u, v, chosen):
-            if some is not None and len(some):
-                low, high = np.array([(r[0], r[1]) for r in some]).T  # disjoint and in order
-                at = np.searchsorted(low, first, side="right") - 1
-                keep = keep & ((at < 0) | (last > high[at]))
-            out.append(np.flatnonzero(keep).astype(np.int32))
+        for some, first, last in zip(runs, u, v):
+            low, high = np.array([(r[0], r[1]) for r in some]).T  # disjoint and in order
+            at = np.searchsorted(low, first, side="right") - 1
+            out.append(np.flatnonzero((at < 0) | (last > high[at])).astype(np.int32))
         return pd.Series(out)
 
-    indexes = T.ArrayType(T.IntegerType())
-    marked = found.withColumn("may", KeyFilter(runs.select(F.xxhash64("d", "th").alias("h")), runs.count()).may_hold(F.xxhash64("d", "th")))
-    none = marked.where("not may").withColumn("runs", F.lit(None).cast("array<array<int>>"))
-    joined = materialize(marked.where("may").join(runs.hint("merge"), ["d", "th"], "left").unionByName(none).drop("may"), "joined")
-    release(found)
-
-    def each(chosen: Column) -> DataFrame:
+    def chosen_of(rows: DataFrame, at: Column) -> DataFrame:
         # A struct for each index: exploding indexes would repeat the arrays in every row.
-        return joined.select("d", "th", F.inline(F.transform(chosen, lambda i: F.struct(*[F.get(k, i).alias(k) for k in "gpab"]))))
+        return rows.select("d", "th", F.inline(F.transform(at, lambda i: F.struct(*[F.get(k, i).alias(k) for k in "gpab"]))))
 
     # Only windows with a whole line delete anything; the others count as first copies of those.
-    whole = F.pandas_udf(lambda runs, u, v, a, b: outside(runs, u, v, (x <= y for x, y in zip(a, b))), indexes)
-    whole = materialize(each(whole("runs", "u", "v", "a", "b")), "windows")
+    some = found.where(F.size("g") > 0).select("d", "th", *"gpabuv")
+    some = some.withColumn("may", KeyFilter(runs.select(F.xxhash64("d", "th").alias("h")), runs.count()).may_hold(F.xxhash64("d", "th")))
+    free = some.where("not may").select("d", "th", F.inline(F.arrays_zip("g", "p", "a", "b")))
+    near = some.where("may").join(runs.hint("merge"), ["d", "th"], "left")
+    loose = near.where("runs is null").select("d", "th", F.inline(F.arrays_zip("g", "p", "a", "b")))
+    near = near.where("runs is not null")
+    whole = materialize(free.unionByName(loose).unionByName(chosen_of(near, outside("runs", "u", "v"))), "windows")
     sent = KeyFilter(whole.select(F.col("g").alias("h")), whole.count()).sent
-    plain = F.pandas_udf(lambda runs, u, v, a, b, g: outside(runs, u, v, ((x > y) & KeyFilter.on(sent.value, np.array(h, np.int64)) for x, y, h in zip(a, b, g))), indexes)
-    windows = materialize(whole.unionByName(each(plain("runs", "u", "v", "a", "b", "g"))), "windows")
-    release(joined)
+    held_by = F.pandas_udf(lambda g: pd.Series([np.flatnonzero(KeyFilter.on(sent.value, np.asarray(h, np.int64))).astype(np.int32) for h in g]), indexes)
+    plain = found.where(F.size("pg") > 0).select("d", "th", "pg", "pp", held_by("pg").alias("at"))
+    pair = lambda i: F.struct(F.get("pg", i).alias("g"), F.get("pp", i).alias("p"), F.lit(0).alias("a"), F.lit(-1).alias("b"))
+    windows = materialize(whole.unionByName(plain.select("d", "th", F.inline(F.transform("at", pair)))), "windows")
+    for done in (found, whole):
+        release(done)
     again = materialize(windows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select(F.col("g").alias("h")), "again")
     windows = materialize(windows.where(KeyFilter(again, again.count()).may_hold(F.col("g"))), "windows")
     first = windows.groupBy("g").agg(F.min(F.struct("d", "th", "p")).alias("f"), F.count("*").alias("n")).where("n > 1").select("g", "f", "n")
