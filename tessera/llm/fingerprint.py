@@ -184,39 +184,53 @@ def corpus_ranks(docs: DataFrame) -> np.ndarray:
 
 def with_neighbour(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (bucket, look, doc_id, text), dealt by bucket and sorted so that every row's next document
-    (descending doc_id; after the last the first) follows it in its bucket. Buckets are ranges of doc_id; the first
+    (descending doc_id, ties by a hash of the text; after the last the first) follows it in its bucket. Buckets are ranges of
+    doc_id; an id with more than a ten-thousandth of all rows, as null may be, is cut further by the hash. The first
     document of the next bucket is repeated at the end of each, with look = 1."""
     n = docs.count()
     parts = int(min(MOST_BUCKETS, max(1, -(-n // BUCKET_ROWS))))
     least = -(1 << 63)
     cuts = docs.agg(F.percentile_approx("doc_id", [(i + 1) / parts for i in range(parts - 1)], max(10_000, 10 * parts))).first()[0] if parts > 1 else []
     bounds = np.unique(np.array(cuts or [], np.int64))
-
-    def bucket_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right"))
-
-    keyed = docs.withColumn("__order", F.coalesce("doc_id", F.lit(least)))
-    bucket = F.pandas_udf(bucket_of, T.LongType())
-    # At most MOST_BUCKETS rows.
-    heads = {r[0]: r[1] for r in keyed.select(bucket("__order").alias("b"), "__order").groupBy("b").agg(F.max("__order").alias("h")).collect()}
+    keyed = docs.withColumn("__order", F.coalesce("doc_id", F.lit(least))).withColumn("__hash", F.xxhash64("text"))
+    # At most 10,000 rows.
+    frequent = keyed.groupBy("__order").agg(F.count("*").alias("k")).where(F.col("k") > max(2 * BUCKET_ROWS, n // 10_000)).orderBy("__order").collect()
+    hot = np.array([r[0] for r in frequent], np.int64)
+    pieces = np.array([min(-(-r[1] // BUCKET_ROWS), MOST_BUCKETS * r[1] // n + 1) for r in frequent], np.uint64)
+    before = np.concatenate([[0], np.cumsum(pieces)]).astype(np.int64)
+
+    def numbers(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(hot, ids)
+        out = np.searchsorted(bounds, ids, side="right") + before[at]
+        some = np.flatnonzero(at < len(hot))
+        some = some[hot[at[some]] == ids[some]]
+        high = (hashes[some].view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+        out[some] += ((high * pieces[at[some]]) >> np.uint64(32)).astype(np.int64)
+        return out
+
+    bucket = F.pandas_udf(lambda ids, hashes: pd.Series(numbers(ids.to_numpy(np.int64), hashes.to_numpy(np.int64))), T.LongType())
+    # At most two rows for each of MOST_BUCKETS.
+    firsts = keyed.select(bucket("__order", "__hash").alias("b"), F.struct("__order", "__hash").alias("s")).groupBy("b").agg(F.max("s").alias("s")).collect()
+    heads = {r["b"]: (r["s"][0], r["s"][1]) for r in firsts}
     used = sorted(heads, reverse=True)
-    before = {b: used[i - 1] for i, b in enumerate(used)}  # the bucket whose rows come before; of the first, the last
+    previous = {b: used[i - 1] for i, b in enumerate(used)}  # the bucket whose rows come before; of the first, the last
 
-    def places(ids: pd.Series) -> pd.Series:
-        own = np.searchsorted(bounds, ids.to_numpy(), side="right").tolist()
-        return pd.Series([[2 * b, 2 * before[b] + 1] if heads[b] == i else [2 * b] for b, i in zip(own, ids.tolist())])
+    def places(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        own = numbers(ids.to_numpy(np.int64), hashes.to_numpy(np.int64)).tolist()
+        return pd.Series([[2 * b, 2 * previous[b] + 1] if heads[b] == key else [2 * b] for b, key in zip(own, zip(ids.tolist(), hashes.tolist()))])
 
-    dealt = keyed.withColumn("place", F.explode(F.pandas_udf(places, T.ArrayType(T.LongType()))("__order")))
-    dealt = dealt.select(F.expr("place div 2").alias("bucket"), F.expr("place % 2").cast("int").alias("look"), "doc_id", "__order", "text")
+    dealt = keyed.withColumn("place", F.explode(F.pandas_udf(places, T.ArrayType(T.LongType()))("__order", "__hash")))
+    dealt = dealt.select(F.expr("place div 2").alias("bucket"), F.expr("place % 2").cast("int").alias("look"), "doc_id", "__order", "__hash", "text")
     width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return dealt.repartition(width, "bucket").sortWithinPartitions("bucket", "look", F.col("__order").desc(), "text").select("bucket", "look", "doc_id", "text")
+    order = ["bucket", "look", F.col("__order").desc(), F.col("__hash").desc(), "text"]
+    return dealt.repartition(width, "bucket").sortWithinPartitions(*order).select("bucket", "look", "doc_id", "text")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Null text counts as empty (empty fingerprint). The next document follows in descending doc_id (ties by text, null
-    ids last), the first one after the last; a lone document follows itself. Other columns are not read; an empty table
+    Null text counts as empty (empty fingerprint). The next document follows in descending doc_id (ties by a hash of the
+    text, null ids last), the first one after the last; a lone document follows itself. Other columns are not read; an empty table
     gives an empty table."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     ranks = corpus_ranks(docs)

@@ -352,6 +352,24 @@ def test_fingerprints_are_the_definition(spark):
     assert len(repeated) == 4
 
 
+def test_fingerprints_of_hot_ids_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(fp, "BUCKET_ROWS", 8)
+    rng = random.Random(17)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(1, 25))) for _ in range(150)] + ["same"] * 20
+    ids = [None if i % 3 == 0 else 5 if i % 3 == 1 else i for i in range(len(texts))]
+    docs = frame(spark, texts, ids)
+    dealt = fp.with_neighbour(docs.select("doc_id", "text"))
+    sizes = {r["bucket"]: r["n"] for r in dealt.where("look = 0").groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    assert sum(sizes.values()) == len(texts) and len(sizes) > 15 and max(sizes.values()) < 45
+    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    rows = sorted(zip(ids, texts), key=lambda r: (-(1 << 63) if r[0] is None else r[0], hashes[r[1]]), reverse=True)
+    want = []
+    for k, (i, text) in enumerate(rows):
+        m = len(text) // 3
+        want.append((str(i), hashlib.sha256((text[: len(text) - m] + rows[(k + 1) % len(rows)][1][:m]).encode()).hexdigest()))
+    assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in fp.fingerprints(docs).collect()) == sorted(want)
+
+
 # ---------------------------------------------------------------- secrets
 
 
