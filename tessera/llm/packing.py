@@ -1,11 +1,12 @@
 """Best-fit packing of token pieces by a grouping genetic algorithm on islands.
 
-Pieces are dealt at random to shards of bounded size. Each shard is solved by several islands with seeds of their own;
-in every epoch each island receives the best packing of its neighbour (elite migration, through a written table).
+Pieces are dealt at random to shards of bounded size. A shard that decreasing best-fit packs to the lower bound, the sum
+of lengths over the capacity, is done; each other shard is solved by several islands with seeds of their own, and in every
+epoch each island receives the best packing of its neighbour (elite migration, through a written table).
 Crossover injects whole well-filled bins of one parent into the other, removes the bins that hold duplicates of their
 pieces, and best-fits what was displaced: first in place of pieces of open bins that fill them worse (those are displaced
-then), the rest in decreasing order. An island ends when its packing meets the lower bound, the sum of lengths over the
-capacity; plain decreasing best-fit often does at once. The poorly filled bins of all shards are packed once more.
+then), the rest in decreasing order. An island ends when its packing meets the bound. The poorly filled bins of all shards
+are packed once more.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ CAPACITY = 2048
 SHARD_ITEMS, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 16_384, 3, 2, 80, 10
 #: Share of a bin from which it counts as well filled; below LEFT_OVER a bin is packed again with those of other shards.
 WELL_FILLED, LEFT_OVER = 0.998, 0.97
-#: Bins that a crossover injects at most, open ones that it breaks up, and those in which displaced pieces are swapped;
-#: beyond so many displaced pieces none are.
-INJECTED, OPENED, SWAP_BINS, SWAP_ITEMS = 3, 3, 256, 80
+#: Bins that a crossover injects at most, open ones that it breaks up, and those in which displaced pieces are swapped (with
+#: SWAP_PIECES at most: pairs of a bin's pieces are looked at); beyond SWAP_ITEMS displaced pieces none are.
+INJECTED, OPENED, SWAP_BINS, SWAP_PIECES, SWAP_ITEMS = 3, 3, 256, 48, 80
 #: Distinct words that a worker remembers before it starts anew.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 800_000
 
 
 #: 1: ASCII letters, 2: ASCII digits and symbols but for the apostrophe
@@ -74,6 +75,11 @@ class WordIds(dict):
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def keep(self, words: list[bytes], part: list[int], ids: np.ndarray, cuts: np.ndarray) -> None:
+        data, ends = ids.tobytes(), cuts.tolist()
+        for k, a, b in zip(part, [0, *ends], ends):
+            self[words[k]] = data[4 * a : 4 * b]
+
     def encode(self, words: list[list[bytes]]) -> list[bytes]:
         """The ids of each list of words. Words not known yet are encoded many at a time, joined by spaces. Words of letters
         are one match each, which its last id tells; of others, the place where a token starts tells its word."""
@@ -82,18 +88,21 @@ class WordIds(dict):
         if len(self) + len(new) > MEMO_ENTRIES:
             self.clear()
         texts = [w.decode() for w in new]
-        order = sorted(range(len(new)), key=lambda i: texts[i].isalpha())
-        for i in range(0, len(new), 1000):
-            part = order[i : i + 1000]
-            coded = self.tokenizer.encode(" ".join([texts[k] for k in part]), add_special_tokens=False)
-            ids = np.array(coded.ids, "<u4")
+        plain = [k for k, t in enumerate(texts) if t.isalpha()]
+        mixed = [k for k, t in enumerate(texts) if not t.isalpha()]
+        for i in range(0, len(plain), 400):
+            part = plain[i : i + 400]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[k] for k in part])], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.last[ids]) + 1
-            if len(cuts) != len(part) or not texts[part[0]].isalpha():
-                starts = np.fromiter((a for a, _ in coded.offsets), np.int64, len(ids))
-                cuts = np.searchsorted(starts, np.cumsum([len(texts[k]) + 1 for k in part]))
-            data, cuts = ids.tobytes(), cuts.tolist()
-            for k, a, b in zip(part, [0, *cuts], cuts):
-                self[new[k]] = data[4 * a : 4 * b]
+            if len(cuts) == len(part):
+                self.keep(new, part, ids, cuts)
+            else:  # a letter whose lower case isn't one
+                mixed += part
+        for i in range(0, len(mixed), 400):
+            part = mixed[i : i + 400]
+            coded = self.tokenizer.encode(" ".join([texts[k] for k in part]), add_special_tokens=False)
+            starts = np.fromiter((a for a, _ in coded.offsets), np.int64, len(coded.ids))
+            self.keep(new, part, np.array(coded.ids, "<u4"), np.searchsorted(starts, np.cumsum([len(texts[k]) + 1 for k in part])))
         out = [b"".join(f) if None not in f else b"".join(ids if ids is not None else self[x] for x, ids in zip(w, f)) for w, f in zip(words, found)]
         for w in new:
             if len(w) > 64:  # a long word is hardly met again
@@ -164,7 +173,7 @@ def swapped(lengths: np.ndarray, bins: np.ndarray, free: list[int], capacity: in
     for _ in range(len(free)):
         placed = np.flatnonzero(bins >= 0)
         fill = np.bincount(bins[placed], lengths[placed]).astype(np.int64)
-        opened = np.flatnonzero((fill > 0) & (fill < capacity))
+        opened = np.flatnonzero((fill > 0) & (fill < capacity) & (np.bincount(bins[placed], minlength=len(fill)) <= SWAP_PIECES))
         if not len(opened) or not free:
             break
         if len(opened) > SWAP_BINS:
@@ -263,37 +272,61 @@ def evolve(lengths: np.ndarray, elites: list[np.ndarray], capacity: int, seed: i
     return rated[0][2]
 
 
+SOLVED = "item long, length long, shard long, island int, bin long, at long, fill long, score double, met boolean"
+
+
+def _placed(items: np.ndarray, lengths: np.ndarray, bins: np.ndarray, shard: int, island: int, capacity: int) -> pd.DataFrame:
+    """A packing as rows of SOLVED: at is a piece's place in its bin, fill the bin's length, met whether it is the bound."""
+    count, squares = fitness(lengths, bins, capacity)
+    order = np.argsort(bins, kind="stable")
+    n, b = lengths[order], bins[order]
+    before = np.cumsum(n) - n
+    at = np.empty(len(bins), np.int64)
+    at[order] = before - before[np.searchsorted(b, b)] if len(b) else before
+    fill = np.bincount(bins, lengths)[bins].astype(np.int64)
+    met = -count <= -(-int(lengths.sum()) // capacity)
+    return pd.DataFrame({"item": items, "length": lengths, "shard": shard, "island": island, "bin": bins, "at": at, "fill": fill, "score": squares / 2 + count, "met": met})
+
+
 def _solve(items: DataFrame, capacity: int) -> DataFrame:
-    """items(item, length, shard, bin), bin being a first packing's or null -> the same columns with at, the place in the
-    bin, and fill, the bin's length. A first packing is an elite of all islands, so the result is never worse."""
-    island = F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island")
+    """items(item, length, shard, bin), bin being a first packing's or null -> the same columns with at and fill. Shards that
+    decreasing best-fit (or the first packing) solves to the bound are done; the others evolve on islands that start from
+    it, so the result is never worse."""
+
+    def plain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("item", kind="stable")
+        lengths = pdf["length"].to_numpy(np.int64)
+        bins = np.full(len(lengths), -1, np.int64)
+        best_fit(lengths, np.argsort(-lengths, kind="stable"), bins, [], capacity)
+        if pdf["bin"].notna().all():
+            given = np.unique(pdf["bin"].to_numpy(np.int64), return_inverse=True)[1]
+            bins = max(given, bins, key=lambda x: fitness(lengths, x, capacity))
+        return _placed(pdf["item"].to_numpy(), lengths, bins, key[0], 0, capacity)
 
     def epoch(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["item", "source"], kind="stable")
-        sources = pdf["source"].unique()
+        sources = sorted(pdf["source"].unique())
         first = pdf[pdf["source"] == sources[0]]
         lengths = first["length"].to_numpy(np.int64)
-        elites = [np.unique(pdf.loc[pdf["source"] == s, "bin"].to_numpy(np.int64), return_inverse=True)[1] for s in sorted(sources) if s >= 0]
+        elites = [np.unique(pdf.loc[pdf["source"] == s, "bin"].to_numpy(np.int64), return_inverse=True)[1] for s in sources]
         bins = evolve(lengths, elites, capacity, seed=int(key[0]) * 1009 + int(key[1]) * 31 + len(elites))
-        count, squares = fitness(lengths, bins, capacity)
-        order = np.argsort(bins, kind="stable")
-        n, b = lengths[order], bins[order]
-        before = np.cumsum(n) - n
-        at = np.empty(len(bins), np.int64)
-        at[order] = before - before[np.searchsorted(b, b)] if len(b) else before
-        return pd.DataFrame({"item": first["item"].to_numpy(), "length": lengths, "shard": key[0], "island": key[1], "bin": bins, "at": at, "fill": np.bincount(bins, lengths)[bins].astype(np.int64), "score": squares / 2 - (-count)})
-
-    source = F.when(F.col("bin").isNull(), F.lit(-1)).otherwise(F.lit(ISLANDS))
-    state = items.select("item", "length", "shard", island, source.alias("source"), F.coalesce("bin", F.lit(-1).cast("long")).alias("bin"))
-    schema = "item long, length long, shard long, island int, bin long, at long, fill long, score double"
+        return _placed(first["item"].to_numpy(), lengths, bins, key[0], key[1], capacity)
+
+    columns = ["item", "length", "shard", "bin", "at", "fill"]
+    first = materialize(items.groupBy("shard").applyInPandas(plain, SOLVED), "best-fit")
+    done, open_ = first.where("met").select(*columns), first.where("not met")
+    if open_.isEmpty():
+        return done
+    island = F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island")
+    state = open_.select("item", "length", "shard", island, F.lit(ISLANDS).alias("source"), "bin")
     for e in range(EPOCHS):
-        solved = materialize(state.groupBy("shard", "island").applyInPandas(epoch, schema), "islands")
+        solved = materialize(state.groupBy("shard", "island").applyInPandas(epoch, SOLVED), "islands")
         if e < EPOCHS - 1:  # an island's own elite and that of its neighbour
             own = solved.select("item", "length", "shard", "island", F.col("island").alias("source"), "bin")
             sent = solved.select("item", "length", "shard", F.expr(f"(island + 1) % {ISLANDS}").alias("island"), F.col("island").alias("source"), "bin")
             state = own.unionByName(sent)
     best = solved.groupBy("shard").agg(F.max(F.struct("score", "island")).alias("best")).select(F.col("shard").alias("s"), F.col("best.island").alias("i"))
-    return solved.join(best, (F.col("shard") == F.col("s")) & (F.col("island") == F.col("i")), "left_semi").select("item", "length", "shard", "bin", "at", "fill")
+    return done.unionByName(solved.join(best, (F.col("shard") == F.col("s")) & (F.col("island") == F.col("i")), "left_semi").select(*columns))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
