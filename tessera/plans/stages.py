@@ -173,7 +173,7 @@ def shard_survey(spark, sf_dir):
 
 @query("SELECT page_id, url, CAST(row_number() OVER () - 1 AS BIGINT) AS row FROM pages")
 def pages_in_file_order(spark, sf_dir):
-    return fl.in_file_order(spark, f"{sf_dir}/pages.parquet", ("page_id", "url", "absent")).drop("file")
+    return fl.in_order(spark, f"{sf_dir}/pages.parquet", ("page_id", "url", "absent")).select("page_id", "url", F.col("place").alias("row"))
 
 
 _ITEM_ROWS = Literal("Question string, option_a string, option_b string", (" What is the capital of France today ", "Paris", " "), ("Too short", "a", "b"), (None, "x", "y"), ("Which river runs through the old town", "Seine", "Rhine"), ("Which river runs through the old town", "Seine", "Rhine"))
