@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
@@ -26,16 +27,45 @@ def footer(spark: SparkSession, path: str) -> tuple[int, int, list[str], int]:
         reader.close()
 
 
+def parquet_files(spark: SparkSession, path: str) -> list[str]:
+    """The files of a table that is a folder, at any depth, by path; those that Spark hides (_ and .) are left out. A file is
+    its own only one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = fs.getFileStatus(at)
+    if top.isFile():
+        return [path]
+    root, found, listed = top.getPath().toUri().getPath().rstrip("/"), [], fs.listFiles(at, True)
+    while listed.hasNext():
+        file = listed.next().getPath()
+        inside = file.toUri().getPath()[len(root) + 1 :].split("/")
+        if not any(x.startswith(".") or x.startswith("_") and "=" not in x for x in inside):
+            found.append(file.toString())
+    return sorted(found)
+
+
+def table_footers(spark: SparkSession, path: str) -> tuple[int, int, list[str], int] | None:
+    """footer() of a file, or of all files of a folder: sums, and the columns of all as they first come; None without a file."""
+    with ThreadPoolExecutor(8) as some:  # each read waits for the store
+        each = list(some.map(lambda p: footer(spark, p), parquet_files(spark, path)))
+    if not each:
+        return None
+    groups, rows, names, sizes = zip(*each)
+    return sum(groups), sum(rows), list(dict.fromkeys(c for n in names for c in n)), sum(sizes)
+
+
 def survey(planned: DataFrame) -> DataFrame:
-    """planned(corpus, path, size), a short list of files -> with what each footer says, whether it can be reached, and whether
-    its size is the one recorded; another size means other data under the same name."""
+    """planned(corpus, path, size), a short list of files, or of folders of files -> with what the footers say, whether it can be
+    reached, and whether its size is the one recorded; another size means other data under the same name. A folder without
+    Parquet files, or with one that can't be read, can't be reached."""
     rows = []
     for r in planned.select("corpus", "path", "size").collect():
         try:
-            groups, n, names, size = footer(planned.sparkSession, r["path"])
-            rows.append((r["corpus"], r["path"], r["size"], True, groups, n, names, size, r["size"] == size))
+            found = table_footers(planned.sparkSession, r["path"])
         except Py4JJavaError:
-            rows.append((r["corpus"], r["path"], r["size"], False, None, None, None, None, None))
+            found = None
+        groups, n, names, size = found or (None,) * 4
+        rows.append((r["corpus"], r["path"], r["size"], found is not None, groups, n, names, size, r["size"] == size if found else None))
     return planned.sparkSession.createDataFrame(rows, SURVEY)
 
 
