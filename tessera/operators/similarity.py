@@ -1,4 +1,4 @@
-"""Set similarity over word shingles: MinHash signatures, band keys, and exact greedy survivors by prefix filtering."""
+"""Set similarity over word shingles: MinHash signatures and band keys."""
 
 from __future__ import annotations
 
@@ -9,14 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import let, lower_words
-from tessera.sources.tables import cut
+from tessera.operators.greedy import greedy_dropped  # noqa: F401
 
 # Shingle width, permutations, bands and rows of the near-duplicate pass.
 K, BANDS, ROWS = 5, 14, 8
 PERMUTATIONS = BANDS * ROWS
 PRIME = (1 << 31) - 1
-#: Stands in the set of a text without words, so that such texts are equal to each other.
-NOTHING = -1
 
 
 def threshold(bands: int = BANDS, rows: int = ROWS) -> float:
@@ -73,32 +71,3 @@ def band_keys(sig: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
 def estimate(a: Column, b: Column, permutations: int = PERMUTATIONS) -> Column:
     """Share of places in which two signatures agree."""
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / permutations
-
-
-def greedy_dropped(rows: DataFrame, least: float) -> DataFrame:
-    """rows(ord unique, set) -> (ord, by): in order of ord, a row is dropped when an earlier row that stays has a
-    similarity of `least` or more. Not transitive: a dropped row drops nobody.
-
-    Equal sets are settled as one. Rows that could match share one of their rarest shingles (prefix filter), so nothing
-    is missed. In each round a row that comes first under all its shingles stays, and only it is compared with the rows
-    that share one: as many comparisons as entries, never all pairs of a group. Rounds are cut by reliable checkpoints."""
-    sets = cut(rows.select("ord", F.when(F.size("set") == 0, F.array(F.lit(NOTHING).cast("long"))).otherwise(F.array_sort("set")).alias("set")))
-    classes = cut(sets.groupBy("set").agg(F.min("ord").alias("ord")))
-    each = classes.select("ord", F.size("set").alias("n"), F.explode("set").alias("token"))
-    counted = each.join(each.groupBy("token").agg(F.count("*").alias("df")), "token")
-    ranked = counted.groupBy("ord", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
-    prefix = F.slice("ranked", 1, (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
-    entries = ranked.select("ord", F.explode(prefix).alias("e")).where("e.df > 1").select("ord", F.col("e.token").alias("token"))
-    open_, dropped = cut(entries), None
-    while not open_.isEmpty():
-        first = open_.groupBy("token").agg(F.min("ord").alias("first"))
-        placed = open_.join(first, "token")
-        stays = cut(placed.groupBy("ord").agg(F.min(F.col("ord") == F.col("first")).alias("leads")).where("leads").select(F.col("ord").alias("by")))
-        meet = placed.join(stays, F.col("first") == F.col("by"), "left_semi").where("ord != first").select("ord", F.col("first").alias("by")).distinct()
-        left, right = classes.select("ord", F.col("set").alias("a")), classes.select(F.col("ord").alias("by"), F.col("set").alias("b"))
-        hit = cut(meet.join(left, "ord").join(right, "by").where(jaccard(F.col("a"), F.col("b")) >= least).groupBy("ord").agg(F.min("by").alias("by")))
-        dropped = hit if dropped is None else dropped.unionByName(hit)
-        open_ = cut(open_.join(stays, F.col("ord") == F.col("by"), "left_anti").join(hit, "ord", "left_anti"))
-    nobody = classes.select("ord", F.col("ord").alias("by")).where("false")
-    of_class = classes.join(nobody if dropped is None else dropped, "ord", "left").select(F.col("ord").alias("head"), "by", "set")
-    return sets.join(of_class, "set").where("by is not null or ord != head").select("ord", F.coalesce("by", "head").alias("by"))
